@@ -13,6 +13,8 @@ from lodeseek.plans.stages import Stages
 
 #: Rates are resolved to this many steps a source.
 STEPS = 4096
+#: Times that the room left by a record too long for it is offered to the records after it.
+ROUNDS = 8
 
 
 def _thresholds(top: int):
@@ -47,7 +49,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     A document's uniform number is a hash of its id and the seed; inverted through the Poisson distribution with its
     source's rate it says how often the document is used, at most max_repeats times. A source's rate is the one at which
     the tokens drawn come nearest to its target: a histogram of the rates at which tokens enter, a bounded table by
-    source, is summed up to the target. The target total is total_tokens or, by default, the most at which every source
+    source, is summed up to the target. A record longer than the room then left is passed over and the room goes to the
+    records that enter at the next higher rates. The target total is total_tokens or, by default, the most at which every source
     with documents can meet its weight within max_repeats. With a larger total, sources at their cap fall short, which
     the shares show. Sources without documents or weight contribute nothing and the weights of the others are rescaled.
     Documents with null id, null source, an unlisted source or no token are left out; repeated ids count once. Null or
@@ -69,26 +72,44 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     units = d.join(tb.select("source", "max_repeats"), "source").withColumn("rate", F.explode(_thresholds(top)(u, "max_repeats"))).drop("max_repeats")
     step = F.least(F.lit(STEPS - 1), F.floor(F.lit(STEPS) * (1 - F.exp(-F.col("rate") / F.lit(float(top))))).cast("int"))
     units = st.keep(units.withColumn("step", step), "units")
-    hist: dict[str, dict[int, int]] = {}
-    for r in units.groupBy("source", "step").agg(F.sum("n_tokens").alias("n")).collect():  # sources x STEPS rows at most
-        hist.setdefault(r["source"], {})[r["step"]] = r["n"]
-    cuts, part = {}, {}
-    for r in have:
-        want, acc = total * r["target_weight"] / weight, 0
-        if want >= r["available"] * r["max_repeats"] * (1 - 1e-12):
-            cuts[r["source"]], part[r["source"]] = STEPS, 0.0
-            continue
-        for s, n in sorted(hist[r["source"]].items()):
-            if acc + n > want:
-                cuts[r["source"]], part[r["source"]] = s, want - acc
-                break
-            acc += n
-    rows = documents.sparkSession.createDataFrame([(k, v, float(part[k])) for k, v in cuts.items()], "source string, cut int, room double")
-    marked = units.join(F.broadcast(rows) if len(cuts) <= 100_000 else rows, "source")
-    # inside the step at the cut, units enter by rate while they fit; a step holds about 1/STEPS of a source
-    w = W.partitionBy("source").orderBy("rate", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    edge = marked.filter("step = cut").withColumn("acc", F.sum("n_tokens").over(w)).filter("acc <= room").drop("acc")
-    chosen = marked.filter("step < cut").unionByName(edge)
+    spark = documents.sparkSession
+    want = {r["source"]: total * r["target_weight"] / weight for r in have}
+    room = {r["source"]: want[r["source"]] if want[r["source"]] < r["available"] * r["max_repeats"] * (1 - 1e-12) else float("inf") for r in have}
+    rest, chosen = units, None
+    for k in range(ROUNDS):
+        limits = spark.createDataFrame(list(room.items()), "source string, room double")
+        cand = rest.join(F.broadcast(limits) if len(room) <= 100_000 else limits, "source").filter(F.col("n_tokens") <= F.col("room"))
+        hist: dict[str, dict[int, int]] = {}
+        for r in cand.groupBy("source", "step").agg(F.sum("n_tokens").alias("n")).collect():  # sources x STEPS rows at most
+            hist.setdefault(r["source"], {})[r["step"]] = r["n"]
+        cuts = []
+        for name, steps in hist.items():
+            acc = 0
+            for step_no, n in sorted(steps.items()):
+                if acc + n > room[name]:
+                    cuts.append((name, step_no, float(room[name] - acc)))
+                    break
+                acc += n
+            else:
+                cuts.append((name, STEPS, 0.0))
+        if not cuts:
+            break
+        rows = spark.createDataFrame(cuts, "source string, cut int, left double")
+        marked = cand.join(F.broadcast(rows) if len(cuts) <= 100_000 else rows, "source")
+        # inside the step at the cut, units enter by rate while they fit; a step holds about 1/STEPS of a source
+        w = W.partitionBy("source").orderBy("rate", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+        edge = marked.filter("step = cut").withColumn("acc", F.sum("n_tokens").over(w)).filter("acc <= left").drop("acc")
+        cols = ["doc_id", "source", "n_tokens", "rate", "step"]
+        picked = st.keep(marked.filter("step < cut").unionByName(edge).select(*cols), f"picked{k}")
+        chosen = picked if chosen is None else chosen.unionByName(picked)
+        for r in picked.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect():
+            room[r["source"]] -= r["n"]
+        room = {x: y for x, y in room.items() if y != float("inf") and y > 0.002 * want[x]}
+        if not room:
+            break
+        rest = rest.join(picked.select("doc_id", "rate"), ["doc_id", "rate"], "left_anti")
+    if chosen is None:
+        chosen = units.filter("false").select("doc_id", "source", "n_tokens", "rate", "step")
     w2 = W.partitionBy("doc_id").orderBy("rate")
     chosen = chosen.withColumn("copy", F.row_number().over(w2)).withColumn("position_key", F.xxhash64("doc_id", "copy", F.lit(seed + 1)))
     chosen = st.keep(chosen.select("doc_id", "source", "copy", "n_tokens", "position_key").repartitionByRange("position_key").sortWithinPartitions("position_key", "doc_id"), "chosen")
