@@ -16,8 +16,6 @@ from lodeseek.plans.stages import Stages
 K1, B = 1.2, 0.75
 #: Items in a shard, each with its own index.
 SHARD = 3000
-#: Rarest distinct terms of a seed that ask for neighbours; the index holds all terms.
-QUERY_TERMS = 12
 
 
 def items_of(capacities: list[int], path: str):
@@ -38,7 +36,7 @@ def items_of(capacities: list[int], path: str):
                     tails.setdefault(n - n % c if n > c else 0, []).append(c)
                 for start, caps in tails.items():
                     terms, tf = np.unique(ids[start:], return_counts=True)
-                    out.append((doc, source, n, start, n - start, caps, terms.astype("<u4").tobytes(), np.minimum(tf, 255).astype(np.uint8).tobytes()))
+                    out.append((doc, source, n, start, n - start, caps, terms.astype("<u4").tobytes(), tf.astype("<u4").tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "source", "n_tokens", "start", "size", "caps", "terms", "tf"])
 
     return run
@@ -88,22 +86,52 @@ def statistics(items: DataFrame) -> Statistics:
     return Statistics(n, float(mean or 0), by_term)
 
 
+class Index:
+    """BM25 weights of the items in order of size, so that the items that fit a room are a prefix of it."""
+
+    def __init__(self, sizes: np.ndarray, terms: list[np.ndarray], tfs: list[np.ndarray], stats: Statistics):
+        self.items = np.lexsort((np.arange(len(sizes)), sizes))
+        self.sizes = sizes[self.items]
+        lens = np.array([len(terms[i]) for i in self.items], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(lens)])
+        vocab, self.term = np.unique(np.concatenate([terms[i] for i in self.items]), return_inverse=True)
+        self.row = np.repeat(np.arange(len(sizes)), lens)
+        whole = stats.by_term[vocab]
+        idf = np.log(1 + (stats.items - whole + 0.5) / (whole + 0.5))
+        norm = K1 * (1 - B + B * np.maximum(self.sizes, 1) / stats.mean)
+        freq = np.concatenate([tfs[i] for i in self.items]).astype(np.float64)
+        self.weight = idf[self.term] * freq * (K1 + 1) / (freq + norm[self.row])
+        self.asked = np.zeros(len(vocab))
+        self.vocab = vocab
+
+    def keep(self, stay: np.ndarray) -> None:
+        """Leaves out the rows where `stay` is false."""
+        lens = np.diff(self.start)[stay]
+        on = stay[self.row]
+        self.items, self.sizes, self.term, self.weight = self.items[stay], self.sizes[stay], self.term[on], self.weight[on]
+        self.start = np.concatenate([[0], np.cumsum(lens)])
+        self.row = np.repeat(np.arange(len(lens)), lens)
+
+    def scores(self, terms: np.ndarray, room: int) -> np.ndarray:
+        """Scores by all of `terms`, of the rows of at most `room`."""
+        m = int(np.searchsorted(self.sizes, room, "right"))
+        end = self.start[m]
+        t = np.searchsorted(self.vocab, terms)
+        self.asked[t] = 1
+        score = np.bincount(self.row[:end], self.weight[:end] * self.asked[self.term[:end]], m)
+        self.asked[t] = 0
+        return score
+
+
 def fill(sizes: np.ndarray, terms: list[np.ndarray], tfs: list[np.ndarray], capacity: int, stats: Statistics) -> list[list[int]]:
     """Containers as lists of items. The largest unused item is the seed; its unused BM25 neighbours that fit follow by
     score; then, while any item fits, the largest that does."""
     n = len(sizes)
+    if not n:
+        return []
     free = Sizes(sizes)
     used = np.zeros(n, bool)
-    lens = np.array([len(t) for t in terms])
-    all_terms = np.concatenate(terms) if n else np.zeros(0, np.uint32)
-    order = np.argsort(all_terms, kind="stable")
-    owner = np.repeat(np.arange(n), lens)[order]
-    freq = np.concatenate(tfs).astype(np.float32)[order] if n else np.zeros(0, np.float32)
-    vocab, at, df = np.unique(all_terms[order], return_index=True, return_counts=True)
-    whole = stats.by_term[vocab]
-    idf = np.log(1 + (stats.items - whole + 0.5) / (whole + 0.5)).astype(np.float32)
-    norm = (K1 * (1 - B + B * np.maximum(sizes, 1) / stats.mean)).astype(np.float32)
-    weight = np.repeat(idf, df) * freq * (K1 + 1) / (freq + norm[owner])
+    index = Index(sizes, terms, tfs, stats)
     boxes = []
     while free.order:
         seed = free.order[-1][1]
@@ -111,22 +139,20 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], tfs: list[np.ndarray], capa
         used[seed] = True
         free.take(int(sizes[seed]), seed)
         if free.order and free.order[0][0] <= room:
-            t = np.searchsorted(vocab, terms[seed])
-            t = t[np.argsort(whole[t], kind="stable")[:QUERY_TERMS]]
-            score = np.zeros(n, np.float32)
-            for k in t:
-                s = slice(at[k], at[k] + df[k])
-                score[owner[s]] += weight[s]
-            score[used | (sizes > room)] = 0
-            near = np.flatnonzero(score)
-            near = near[np.argsort(-score[near], kind="stable")]
-            while len(near):
-                i = int(near[0])
+            if len(free.order) < len(index.items) * 3 // 4:
+                index.keep(~used[index.items])
+            score = index.scores(terms[seed], room)
+            score[used[index.items[: len(score)]]] = 0
+            while len(score) and (best := score.max()) > 0:
+                rows = np.flatnonzero(score == best)
+                row = int(rows[np.argmin(index.items[rows])])  # equal scores: the earlier item
+                i = int(index.items[row])
                 box.append(i)
                 used[i] = True
                 free.take(int(sizes[i]), i)
                 room -= int(sizes[i])
-                near = near[1:][sizes[near[1:]] <= room]
+                score[row] = 0
+                score = score[: np.searchsorted(index.sizes, room, "right")]
             while (i := free.largest(room)) is not None:
                 box.append(i)
                 used[i] = True
@@ -142,7 +168,7 @@ def _pack(names: dict[int, list[str]], stats: Statistics):
         shard, rows = str(pdf["shard"].iloc[0]), []
         caps = [set(c) for c in pdf["caps"]]
         terms = [np.frombuffer(b, "<u4") for b in pdf["terms"]]
-        tfs = [np.frombuffer(b, np.uint8) for b in pdf["tf"]]
+        tfs = [np.frombuffer(b, "<u4") for b in pdf["tf"]]
         for cap, called in names.items():
             own = [i for i, c in enumerate(caps) if cap in c]
             sizes = pdf["size"].to_numpy()[own]

@@ -191,3 +191,36 @@ def test_residue(spark):
     df = spark.createDataFrame(list(enumerate(bad + good)) + [(None, bad[0]), (0, bad[0])], "doc_id long, text string").withColumn("words", F.lit(1))
     assert sorted(x["doc_id"] for x in residue.template_residue(df).collect()) == [*range(len(bad))]
     assert residue.template_residue(df.filter("false")).count() == 0
+
+
+def test_packing_scores_every_term():
+    # item 1 shares the 28 common terms of the seed, item 2 three rare ones
+    terms = [np.arange(40, dtype=np.uint32), np.arange(12, 40, dtype=np.uint32), np.array([0, 1, 2, *range(50, 75)], np.uint32)]
+    by_term = np.full(80, 20)
+    by_term[:12] = 10
+    boxes = packing.fill(np.array([40, 28, 28]), terms, [np.ones(len(t), np.uint32) for t in terms], 68, packing.Statistics(1000, 30.0, by_term))
+    assert boxes == [[0, 1], [2]]
+
+
+def test_packing_scores_against_full_bm25():
+    r = np.random.default_rng(6)
+    tokens = [np.minimum(r.zipf(1.3, r.integers(1, 90)), 500).astype(np.uint32) for _ in range(80)]
+    terms, tfs = zip(*(np.unique(t, return_counts=True) for t in tokens))
+    by_term = np.bincount(np.concatenate(terms), minlength=501)
+    sizes = np.array([len(t) for t in tokens])
+    index = packing.Index(sizes, list(terms), list(tfs), packing.Statistics(80, float(sizes.mean()), by_term))
+    seed = int(np.argmax(sizes))
+    got = dict(zip(index.items.tolist(), index.scores(terms[seed], 60)))
+    for i in np.flatnonzero(sizes <= 60):
+        want = 0.0
+        for t, f in zip(terms[i], tfs[i]):
+            if t in terms[seed]:
+                want += np.log(1 + (80 - by_term[t] + 0.5) / (by_term[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * sizes[i] / sizes.mean()))
+        assert got[i] == pytest.approx(want)
+
+
+def test_packing_keeps_term_frequencies():
+    import pandas as pd
+
+    pdf = next(packing.items_of([4096], packing.DEFAULT)(iter([pd.DataFrame({"doc_id": [1], "source": ["a"], "text": [" word" * 700]})])))
+    assert np.frombuffer(pdf["tf"][0], "<u4").tolist() == [700]
