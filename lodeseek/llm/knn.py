@@ -14,7 +14,9 @@ from lodeseek.plans.stages import Stages, parts
 
 
 def hilbert_keys(q: np.ndarray, bits: int) -> np.ndarray:
-    """Positions of lattice points (n x d, `bits` bits each) on the Hilbert curve, by the transposed-bits method."""
+    """Positions of lattice points (n x d, `bits` bits each) on the Hilbert curve, by the transposed-bits method: byte
+    strings of d x bits bits, whose leading bits are the positions on the coarser curves."""
+    assert 1 <= bits <= 31
     x = q.astype(np.uint32).T.copy()
     d = len(x)
     step = 1 << (bits - 1)
@@ -34,11 +36,12 @@ def hilbert_keys(q: np.ndarray, bits: int) -> np.ndarray:
         t = np.where((x[d - 1] & step) != 0, t ^ np.uint32(step - 1), t)
         step >>= 1
     x ^= t
-    key = np.zeros(x.shape[1], np.int64)
-    for b in range(bits - 1, -1, -1):
-        for i in range(d):
-            key = (key << 1) | ((x[i] >> np.uint32(b)) & 1).astype(np.int64)
-    return key
+    planes = np.empty((x.shape[1], bits, d), np.uint8)
+    for b in range(bits):
+        planes[:, b] = ((x >> np.uint32(bits - 1 - b)) & 1).T
+    packed = np.packbits(planes.reshape(x.shape[1], bits * d), axis=1)
+    whole, width = packed.tobytes(), packed.shape[1]
+    return np.array([whole[i : i + width] for i in range(0, len(whole), width)], object)
 
 
 def curve_rows(curves: int, dims: int, bits: int, size: int):
@@ -94,7 +97,7 @@ def window_rows(k: int, window: int, size: int):
     return run
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 10, size: int = 64, curves: int = 24, dims: int = 12, bits: int = 5, window: int = 512) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int = 10, size: int = 64, curves: int = 24, dims: int = 12, bits: int = 20, window: int = 512) -> DataFrame:
     """(answer_id, neighbour_id, cosine, rank): for each usable vector the k others of the highest cosine, nearly always.
 
     Usable: `size` finite numbers, not all zero. Equal vectors form one class that keeps its k + 1 smallest ids, so a
@@ -112,8 +115,8 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, size: int = 64, curves: int
     low = v.select("code", "answer_id").withColumn("r", F.row_number().over(W.partitionBy("code").orderBy("answer_id"))).filter(F.col("r") <= k + 1)
     low = st.keep(low.select("code", "answer_id"), "low")
     one = v.groupBy("code").agg(F.min("answer_id").alias("low"), F.min("vec").alias("vec"))
-    keyed = one.mapInPandas(curve_rows(curves, dims, bits, size), "curve int, key long, code long, low long, vec array<float>")
-    keyed = keyed.repartitionByRange(parts(spark), "curve", "key").sortWithinPartitions("curve", "key", "code")
+    keyed = one.mapInPandas(curve_rows(curves, dims, bits, size), "curve int, key binary, code long, low long, vec array<float>")
+    keyed = keyed.repartitionByRange(parts(spark), "curve", "key").sortWithinPartitions("curve", "key", F.xxhash64("curve", "code"))
     near = keyed.mapInPandas(window_rows(k + 1, window, size), "code long, other array<long>, cos array<double>")
     near = near.select("code", F.explode(F.arrays_zip("other", "cos")).alias("z")).groupBy("code", F.col("z.other").alias("other")).agg(F.max("z.cos").alias("cos"))
     near = st.keep(near, "near")

@@ -224,3 +224,34 @@ def test_packing_keeps_term_frequencies():
 
     pdf = next(packing.items_of([4096], packing.DEFAULT)(iter([pd.DataFrame({"doc_id": [1], "source": ["a"], "text": [" word" * 700]})])))
     assert np.frombuffer(pdf["tf"][0], "<u4").tolist() == [700]
+
+
+def _recall(spark, x, asked, **kw):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "answer_id long, embedding array<float>")
+    got = {}
+    for z in knn.nearest_vectors(df, **kw).filter(F.col("answer_id").isin(asked)).collect():
+        got.setdefault(z["answer_id"], set()).add(z["neighbour_id"])
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    hits = 0
+    for i in asked:
+        c = np.round(y @ y[i], 12)
+        want = [j for j in np.lexsort((np.arange(len(x)), -c))[:11].tolist() if j != i][:10]
+        hits += len(got[i] & set(want))
+    return hits / (10 * len(asked))
+
+
+def test_neighbours_in_a_dense_group(spark):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((1800, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:1200] = x[0] + r.standard_normal((1200, 4)) @ r.standard_normal((4, 64)) * 0.0002
+    assert _recall(spark, x.astype(np.float32), list(range(0, 1200, 24)), window=48) > 0.9
+
+
+def test_hilbert_keys_refine():
+    q = np.random.default_rng(3).integers(0, 1 << 20, (200, 16))
+    fine, coarse = knn.hilbert_keys(q, 20), knn.hilbert_keys(q >> 15, 5)
+    assert all(f[:10] == c for f, c in zip(fine, coarse)) and len(set(fine)) == 200 and len(fine[0]) == 40
+    walk = sorted(itertools.product(range(8), repeat=3), key=lambda p: knn.hilbert_keys(np.array([p]), 3)[0])
+    assert all(sum(abs(a - b) for a, b in zip(p, n)) == 1 for p, n in zip(walk, walk[1:]))
