@@ -97,7 +97,7 @@ def window_rows(k: int, window: int, size: int):
     return run
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 10, size: int = 64, curves: int = 24, dims: int = 12, bits: int = 20, window: int = 512) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int = 10, size: int = 64, curves: int = 48, dims: int = 16, bits: int = 20, window: int = 512) -> DataFrame:
     """(answer_id, neighbour_id, cosine, rank): for each usable vector the k others of the highest cosine, nearly always.
 
     Usable: `size` finite numbers, not all zero. Equal vectors form one class that keeps its k + 1 smallest ids, so a

@@ -255,3 +255,11 @@ def test_hilbert_keys_refine():
     assert all(f[:10] == c for f, c in zip(fine, coarse)) and len(set(fine)) == 200 and len(fine[0]) == 40
     walk = sorted(itertools.product(range(8), repeat=3), key=lambda p: knn.hilbert_keys(np.array([p]), 3)[0])
     assert all(sum(abs(a - b) for a, b in zip(p, n)) == 1 for p, n in zip(walk, walk[1:]))
+
+
+def test_neighbours_by_default():
+    import inspect
+
+    given = {n: p.default for n, p in inspect.signature(knn.nearest_vectors).parameters.items()}
+    assert given["curves"] >= 48 and given["dims"] >= 16
+    assert all(len(z) * 8 == given["dims"] * given["bits"] for z in knn.hilbert_keys(np.zeros((2, given["dims"])), given["bits"]))
