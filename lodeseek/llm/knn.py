@@ -68,16 +68,19 @@ def window_rows(k: int, window: int, size: int):
             for s in range(a, b, 256):
                 e = min(b, s + 256)
                 lo, hi = max(0, s - window), min(len(x), e + window)
-                sims = (x[s:e].astype(np.float32)) @ x[lo:hi].astype(np.float32).T
+                sims = x[s:e] @ x[lo:hi].T
                 sims[(code[s:e, None] == code[None, lo:hi]) | (curve[s:e, None] != curve[None, lo:hi])] = -2
-                m = min(2 * k, hi - lo)
-                top = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-                ok = np.take_along_axis(sims, top, 1) > -1.5
-                cos = np.round(np.einsum("nd,nmd->nm", x[s:e], x[lo:hi][top]), 12)
-                other, small = code[lo:hi][top], low[lo:hi][top]
-                order = np.lexsort((small, -np.where(ok, cos, -3)), axis=1)[:, :k]
-                other, cos, ok = (np.take_along_axis(z, order, 1) for z in (other, cos, ok))
-                yield pd.DataFrame({"code": code[s:e], "other": [o[g] for o, g in zip(other, ok)], "cos": [o[g] for o, g in zip(cos, ok)]})
+                m = max(0, hi - lo - k)
+                least = np.partition(sims, m, axis=1)[:, m]
+                # all that may round to the k-th best cosine or more
+                row, col = np.nonzero(sims >= np.maximum(least - 2e-12, -1.5)[:, None])
+                cos = np.round(sims[row, col], 12)
+                order = np.lexsort((low[lo:hi][col], -cos, row))
+                row, col, cos = row[order], col[order], cos[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col, cos = row[best], col[best], cos[best]
+                ends = np.searchsorted(row, np.arange(1, e - s))
+                yield pd.DataFrame({"code": code[s:e], "other": np.split(code[lo:hi][col], ends), "cos": np.split(cos, ends)})
 
         x = code = low = curve = None
         done = 0
@@ -100,7 +103,7 @@ def window_rows(k: int, window: int, size: int):
 def nearest_vectors(vectors: DataFrame, k: int = 10, size: int = 64, curves: int = 48, dims: int = 16, bits: int = 20, window: int = 512) -> DataFrame:
     """(answer_id, neighbour_id, cosine, rank): for each usable vector the k others of the highest cosine, nearly always.
 
-    Usable: `size` finite numbers, not all zero. Equal vectors form one class that keeps its k + 1 smallest ids, so a
+    Usable: `size` finite numbers, not all zero. Vectors of one direction form one class that keeps its k + 1 smallest ids, so a
     large group of copies costs no more than one vector. Each of `curves` Hilbert curves orders randomly projected and
     shifted classes; each range partition compares a row with `window` rows on both sides, so a pair is missed only if
     it is apart on every curve. Cosines are double, rounded to 12 decimals; ties go to the smaller id. Null ids are left
@@ -110,7 +113,10 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, size: int = 64, curves: int
     st = Stages(spark)
     good = "answer_id is not null and size(embedding) = %d and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < float('inf')) and exists(embedding, x -> x <> 0)" % size
     v = vectors.filter(good).select("answer_id", F.col("embedding").cast("array<float>").alias("vec"))
-    v = v.groupBy("answer_id").agg(F.min("vec").alias("vec")).withColumn("code", F.xxhash64("vec"))
+    v = v.groupBy("answer_id").agg(F.min("vec").alias("vec"))
+    # 1e-13 is above the error of a direction in double and below what tells two float vectors apart in a cosine
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, z: a + z.cast("double") * z.cast("double")))
+    v = v.withColumn("length", length).withColumn("code", F.xxhash64(F.transform("vec", lambda z: F.floor(z.cast("double") / F.col("length") * 1e13 + 0.5)))).drop("length")
     v = st.keep(v, "usable")
     low = v.select("code", "answer_id").withColumn("r", F.row_number().over(W.partitionBy("code").orderBy("answer_id"))).filter(F.col("r") <= k + 1)
     low = st.keep(low.select("code", "answer_id"), "low")

@@ -263,3 +263,10 @@ def test_neighbours_by_default():
     given = {n: p.default for n, p in inspect.signature(knn.nearest_vectors).parameters.items()}
     assert given["curves"] >= 48 and given["dims"] >= 16
     assert all(len(z) * 8 == given["dims"] * given["bits"] for z in knn.hilbert_keys(np.zeros((2, given["dims"])), given["bits"]))
+
+
+def test_neighbours_of_one_direction(spark):
+    r = np.random.default_rng(12)
+    x = r.integers(-50, 50, (200, 64)).astype(np.float32)
+    x[60:180] = x[60] * np.arange(1, 121)[:, None]  # more than a window
+    assert _recall(spark, x, list(range(60, 180, 5)), window=16) == 1
