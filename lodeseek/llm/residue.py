@@ -77,7 +77,7 @@ _FIELD = re.compile(
     r"|_{4,} \([\w ]+\)|(?<![\\{}$_^\w])\{[A-Za-zÀ-ÿ]\w{2,}\}|(?<![\\{}$_^\w])\{\d{1,2}\}|(?<![\w%])%[sd](?!\w)",
 )
 _LABEL = re.compile(r"^\s*(?:\w+ \d+|\w+) ?: *(?:text|sample|lorem|tbd|description|dummy|\.{3}|…)\s*$", re.I | re.M)
-_TRACE = re.compile(r'^\s*at [\w.$]+\([\w.]+:\d+\).*$|^\s*File "[^"\n]+", line \d+.*$|(?:in|at) /[\w/.-]+ on line \d+|\(cause: \w+\)|\b[1-5]\d\d\b|"(?:err|error|code|message|trace|status)"|\b[\w.]+(?:Exception|Error)\b', re.M)
+_TRACE = re.compile(r'^\s*at [\w.$]+\([\w.]+:\d+\).*$|^\s*File "[^"\n]+", line \d+.*$|(?:in|at) /[\w/.-]+ on line \d+|\(cause: \w+\)|(?<![\w.])[\w.]+(?:Exception|Error)\b|\b[1-5]\d\d\b|"(?:err|error|code|message|trace|status)"', re.M)
 _WORD = re.compile(r"\w+")
 
 
@@ -101,12 +101,21 @@ def _automaton() -> ahocorasick.Automaton:
 
 _AUTO = None
 _DUMMY = frozenset(DUMMY.split())
-_MASH = re.compile(r"(?:[asdfghjklñöä]{2,}|[qwertzuiop]{4,}|[yxcvbnm]{3,}|bla)+")
+_MASH = re.compile(r"(?:[asdfghjklñöä]{2,}+|[qwertzuiop]{4,}+|[yxcvbnm]{3,}+|bla)+")
 
 
-def _dummy(words: list[str]) -> bool:
+def _dummy(low: str) -> bool:
     """Only dummy words, one word over and over, or runs of neighbouring keys."""
-    return all(w in _DUMMY for w in words) or len(words) >= 4 and (len(set(words)) == 1 or all(_MASH.fullmatch(w) for w in words))
+    n, first, known, same, mash = 0, None, True, True, True
+    for m in _WORD.finditer(low):
+        w = m[0]
+        n, first = n + 1, first or w
+        known = known and w in _DUMMY
+        same = same and w == first
+        mash = mash and _MASH.fullmatch(w) is not None
+        if not (known or same or mash):
+            return False
+    return n > 0 and (known or n >= 4)
 
 
 def is_residue(text: str | None, coverage: float = 0.7) -> bool:
@@ -129,23 +138,20 @@ def is_residue(text: str | None, coverage: float = 0.7) -> bool:
     if len(low) != len(body):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in body)
     spans = []
-    strong = latin = bound = 0
+    strong = latin = 0
     for end, (n, kind) in _AUTO.iter(low):
         a, b = end - n + 1, end + 1
         if (a == 0 or not low[a - 1].isalnum()) and (b == len(low) or not low[b].isalnum()):
             strong += kind == 1
             latin += kind == 2
-            bound += n
             spans.append((a, b))
     for m in _LABEL.finditer(body):
         strong += 1
-        bound += m.end() - m.start()
         spans.append(m.span())
-    if strong and (len(body) < 4000 or bound > len(body) // 20):
+    if strong:
         for m in _TRACE.finditer(body):
-            bound += m.end() - m.start()
             spans.append(m.span())
-    if (strong or latin >= 4) and bound >= coverage * 0.5 * len(body):
+    if strong or latin >= 4:
         hit = bytearray(len(low))
         for a, b in spans:
             hit[a:b] = b"\1" * (b - a)
@@ -153,7 +159,7 @@ def is_residue(text: str | None, coverage: float = 0.7) -> bool:
         total = sum(n for n, _ in sizes)
         if total and sum(n for n, h in sizes if h) >= coverage * total:
             return True
-    return len(body) < 5000 and bool(words := _WORD.findall(low)) and _dummy(words)
+    return _dummy(low)
 
 
 def residue(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

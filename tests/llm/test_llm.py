@@ -270,3 +270,12 @@ def test_neighbours_of_one_direction(spark):
     x = r.integers(-50, 50, (200, 64)).astype(np.float32)
     x[60:180] = x[60] * np.arange(1, 121)[:, None]  # more than a window
     assert _recall(spark, x, list(range(60, 180, 5)), window=16) == 1
+
+
+@pytest.mark.parametrize("times", [1, 100])
+def test_residue_of_any_length(times):
+    page = "Internal server error\n" + "\n".join(f"    at desk.board.Reply(Reply.java:{i})" for i in range(5 * times))
+    assert residue.is_residue(page)
+    assert residue.is_residue("test asdf " * 10 * times)
+    assert residue.is_residue("Error 404\n" + "=" * 20 * times)
+    assert not residue.is_residue(page + "\n" + "The curve was built twice because the feed restarted. " * 10 * times)
