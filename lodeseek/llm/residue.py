@@ -67,7 +67,7 @@ def _phrases(block: str) -> list[str]:
 _CHROME = {line.strip() for line in CHROME.strip().splitlines() for line in line.split("|") if line} | {"home | questions | tags | users"}
 _TAG = re.compile(r"(?:tags?:|more:|[*>])\s*[\w-]+$|comments are unavailable \(\d+\)\.$|(?:ray|reference|request id|trace): ?[0-9a-f-]{4,}$")
 _CODE = re.compile(r"```.*?(?:```|\Z)|``.+?``|`[^`\n]*`|\$\$.*?\$\$|\$(?!\{)[^$\n]+\$(?!\w)|\\\[.*?\\\]|\\\(.*?\\\)", re.S)
-_QUOTE = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«\s[^»\n]{1,400}\s»|^>(?!\s*[\w-]+$).*$', re.M)
+_QUOTE = re.compile(r'"[^"\n]+"|“[^”\n]+”|„[^“”\n]+[“”]|«\s[^»\n]+\s»|^>(?!\s*[\w-]+$).*$', re.M)
 _NAME = r"[^\W\d_][\w.]*(?:[ _][\w.]+){0,3}"
 _FIELD = re.compile(
     r"\{\{\{?\s*" + _NAME + r"\s*\}?\}\}|\$\{\s*" + _NAME + r"\s*\}|\{[$!]\s*" + _NAME + r"\s*\}|#\{\s*" + _NAME + r"\s*\}|<%=?.*?%>|\{%.*?%\}"

@@ -279,3 +279,7 @@ def test_residue_of_any_length(times):
     assert residue.is_residue("test asdf " * 10 * times)
     assert residue.is_residue("Error 404\n" + "=" * 20 * times)
     assert not residue.is_residue(page + "\n" + "The curve was built twice because the feed restarted. " * 10 * times)
+
+
+def test_residue_long_quotation():
+    assert not residue.is_residue('They wrote "' + "the desk moved the curve " * 30 + 'for {{ name }}" and then closed the thread.')
