@@ -249,6 +249,25 @@ def test_neighbours_in_a_dense_group(spark):
     assert _recall(spark, x.astype(np.float32), list(range(0, 1200, 24)), window=48) > 0.9
 
 
+def test_neighbours_do_not_depend_on_partitions(spark):
+    """Windows far smaller than a curve, blocks of 512, so that borders of blocks and partitions lie everywhere."""
+    r = np.random.default_rng(21)
+    x = (r.standard_normal((60, 64))[r.integers(0, 60, 4000)] + 0.4 * r.standard_normal((4000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "answer_id long, embedding array<float>")
+    was, block, got = spark.conf.get("spark.sql.shuffle.partitions"), knn.BLOCK, []
+    try:
+        knn.BLOCK = 512
+        for n in ("4", "100"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append({tuple(z) for z in knn.nearest_vectors(df, window=24, curves=2, rounds=2, recall=1.0).collect()})
+        assert got[0] == got[1]
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        assert _recall(spark, x, list(range(0, 4000, 40)), window=128) >= 0.95
+    finally:
+        knn.BLOCK = block
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_hilbert_keys_refine():
     q = np.random.default_rng(3).integers(0, 1 << 20, (200, 16))
     fine, coarse = knn.hilbert_keys(q, 20), knn.hilbert_keys(q >> 15, 5)
@@ -261,8 +280,8 @@ def test_neighbours_by_default():
     import inspect
 
     given = {n: p.default for n, p in inspect.signature(knn.nearest_vectors).parameters.items()}
-    assert given["curves"] >= 48 and given["dims"] >= 16
-    assert all(len(z) * 8 == given["dims"] * given["bits"] for z in knn.hilbert_keys(np.zeros((2, given["dims"])), given["bits"]))
+    assert given["curves"] * given["rounds"] >= 48 and given["recall"] >= 0.95
+    assert all(len(z) == given["dims"] * given["bits"] // 8 for z in knn.hilbert_keys(np.zeros((2, given["dims"])), given["bits"]))
 
 
 def test_neighbours_of_one_direction(spark):
