@@ -2,120 +2,93 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm.tokens import DEFAULT, token_counts
 from lodeseek.plans.stages import Stages
 
-#: Rates are resolved to this many steps a source.
-STEPS = 4096
-#: Times that the room left by a record too long for it is offered to the records after it.
-ROUNDS = 8
-
-
-def _thresholds(top: int):
-    """Pandas UDF: the rates from which a document with uniform number u is used 1, 2, ... times: the smallest rate whose
-    Poisson distribution function at j - 1 falls below u. Monotone in the rate, so bisection inverts it."""
-    def tail(lam: np.ndarray, j: int) -> np.ndarray:
-        term, acc = np.exp(-lam), np.zeros_like(lam)
-        for i in range(j):
-            acc = acc + term
-            term = term * lam / (i + 1)
-        return acc
-
-    @F.pandas_udf("array<double>")
-    def run(u: pd.Series, cap: pd.Series) -> pd.Series:
-        x, rates = u.to_numpy(), []
-        for j in range(1, int(cap.max() if len(cap) else 0) + 1):
-            lo, hi = np.zeros(len(x)), np.full(len(x), 64.0 + 4 * top)
-            for _ in range(40):
-                mid = (lo + hi) / 2
-                above = tail(mid, j) > x
-                lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
-            rates.append(hi)
-        return pd.Series([[float(r[i]) for r in rates[: int(c)]] for i, c in enumerate(cap)])
-
-    return run
+#: Seeds tried; of each source the one counts whose draw comes nearest to the target.
+DRAWS = 64
+
+
+def distribution(rate: float, top: int) -> list[float]:
+    """P(X <= 0), P(X <= 1), ... of a Poisson number, at most `top` values and none after one that is 1 in double."""
+    term, acc, out = math.exp(-rate), 0.0, []
+    for j in range(top):
+        acc += term
+        term *= rate / (j + 1)
+        out.append(min(acc, 1.0))
+        if j > rate and term < 1e-18:
+            break
+    return out
+
+
+def mean_uses(rate: float, top: int) -> float:
+    """The mean of a Poisson number that is cut at `top`."""
+    return sum(1 - p for p in distribution(rate, top))
+
+
+def rate_for(mean: float, top: int) -> float:
+    """The rate whose mean of uses is `mean`, below `top`."""
+    lo, hi = 0.0, 64.0 + 8.0 * top
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if mean_uses(mid, top) < mean else (lo, mid)
+    return hi
+
+
+def uses(draw: Column) -> Column:
+    """How often a document is used: its uniform number, a hash of its id and the draw, inverted through its source's
+    distribution. JVM-side; needs doc_id, cdf, whole, max_repeats."""
+    u = (F.pmod(F.xxhash64("doc_id", draw), F.lit(2**52)) + F.lit(0.5)) / F.lit(float(2**52))
+    return F.when(F.col("whole"), F.col("max_repeats")).otherwise(F.size(F.filter("cdf", lambda p: u > p)))
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = DEFAULT, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(rows, shares). rows: doc_id, source, copy, n_tokens, in globally shuffled order (position_key ascending).
     shares: source, target_share, actual_share, documents, copies, tokens, available_tokens, max_repeats.
 
-    A document's uniform number is a hash of its id and the seed; inverted through the Poisson distribution with its
-    source's rate it says how often the document is used, at most max_repeats times. A source's rate is the one at which
-    the tokens drawn come nearest to its target: a histogram of the rates at which tokens enter, a bounded table by
-    source, is summed up to the target. A record longer than the room then left is passed over and the room goes to the
-    records that enter at the next higher rates. The target total is total_tokens or, by default, the most at which every source
-    with documents can meet its weight within max_repeats. With a larger total, sources at their cap fall short, which
-    the shares show. Sources without documents or weight contribute nothing and the weights of the others are rescaled.
-    Documents with null id, null source, an unlisted source or no token are left out; repeated ids count once. Null or
-    non-positive weights and repeats exclude a source; of repeated targets the largest weight counts.
+    A document's uniform number is a hash of its id and a seed; inverted through the Poisson distribution, cut at
+    max_repeats, it says how often the document is used. A source's rate is the one at which the mean of uses times its
+    tokens is its target, so a document's chance does not depend on its length. Of DRAWS seeds each source takes the one
+    whose draw has the tokens nearest to the target. Uses are counted before documents are repeated. The target total is
+    total_tokens or, by default, the most at which every source with documents can meet its weight within max_repeats.
+    With a larger total, sources at their cap use each document max_repeats times and fall short, which the shares show.
+    Sources without documents or weight contribute nothing and the weights of the others are rescaled. Documents with null
+    id, null source, an unlisted source or no token are left out; repeated ids count once. Null or non-positive weights
+    and repeats exclude a source; of repeated targets the largest weight counts.
     """
-    st = Stages(documents.sparkSession)
+    spark = documents.sparkSession
+    st = Stages(spark)
     t = targets.filter("source is not null and target_weight > 0 and not isnan(target_weight) and max_repeats > 0").groupBy("source").agg(F.max(F.struct("target_weight", "max_repeats")).alias("m")).select("source", "m.*")
-    n_targets = t.count()
-    tb = F.broadcast(t) if n_targets <= 100_000 else t
-    d = documents.filter("doc_id is not null and text <> ''").select("doc_id", "source", "text").join(tb.select("source"), "source", "left_semi")
-    d = d.mapInPandas(token_counts(tokenizer), "doc_id long, source string, n_tokens long").filter("n_tokens > 0").groupBy("doc_id").agg(F.min("source").alias("source"), F.max("n_tokens").alias("n_tokens"))
+    few = t.count() <= 100_000
+    small = F.broadcast if few else (lambda df: df)
+    d = documents.filter("doc_id is not null and text <> ''").select("doc_id", "source", "text").join(small(t.select("source")), "source", "left_semi")
+    d = d.mapInPandas(token_counts(tokenizer), "doc_id long, source string, n_tokens long").filter("n_tokens > 0").groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source")).alias("m")).select("doc_id", "m.source", "m.n_tokens")
     d = st.keep(d, "sized")
-    have = d.groupBy("source").agg(F.sum("n_tokens").alias("available")).join(tb, "source")
-    have = have.collect()  # a row per listed source
+    have = d.groupBy("source").agg(F.sum("n_tokens").alias("available")).join(small(t), "source").collect()  # a row per listed source
     weight = sum(r["target_weight"] for r in have)
-    top = max([r["max_repeats"] for r in have], default=1)
     total = total_tokens if total_tokens is not None else min([r["available"] * r["max_repeats"] / (r["target_weight"] / weight) for r in have], default=0)
-    u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**52)) + F.lit(0.5)) / F.lit(float(2**52))
-    units = d.join(tb.select("source", "max_repeats"), "source").withColumn("rate", F.explode(_thresholds(top)(u, "max_repeats"))).drop("max_repeats")
-    step = F.least(F.lit(STEPS - 1), F.floor(F.lit(STEPS) * (1 - F.exp(-F.col("rate") / F.lit(float(top))))).cast("int"))
-    units = st.keep(units.withColumn("step", step), "units")
-    spark = documents.sparkSession
-    want = {r["source"]: total * r["target_weight"] / weight for r in have}
-    room = {r["source"]: want[r["source"]] if want[r["source"]] < r["available"] * r["max_repeats"] * (1 - 1e-12) else float("inf") for r in have}
-    rest, chosen = units, None
-    for k in range(ROUNDS):
-        limits = spark.createDataFrame(list(room.items()), "source string, room double")
-        cand = rest.join(F.broadcast(limits) if len(room) <= 100_000 else limits, "source").filter(F.col("n_tokens") <= F.col("room"))
-        hist: dict[str, dict[int, int]] = {}
-        for r in cand.groupBy("source", "step").agg(F.sum("n_tokens").alias("n")).collect():  # sources x STEPS rows at most
-            hist.setdefault(r["source"], {})[r["step"]] = r["n"]
-        cuts = []
-        for name, steps in hist.items():
-            acc = 0
-            for step_no, n in sorted(steps.items()):
-                if acc + n > room[name]:
-                    cuts.append((name, step_no, float(room[name] - acc)))
-                    break
-                acc += n
-            else:
-                cuts.append((name, STEPS, 0.0))
-        if not cuts:
-            break
-        rows = spark.createDataFrame(cuts, "source string, cut int, left double")
-        marked = cand.join(F.broadcast(rows) if len(cuts) <= 100_000 else rows, "source")
-        # inside the step at the cut, units enter by rate while they fit; a step holds about 1/STEPS of a source
-        w = W.partitionBy("source").orderBy("rate", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-        edge = marked.filter("step = cut").withColumn("acc", F.sum("n_tokens").over(w)).filter("acc <= left").drop("acc")
-        cols = ["doc_id", "source", "n_tokens", "rate", "step"]
-        picked = st.keep(marked.filter("step < cut").unionByName(edge).select(*cols), f"picked{k}")
-        chosen = picked if chosen is None else chosen.unionByName(picked)
-        for r in picked.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect():
-            room[r["source"]] -= r["n"]
-        room = {x: y for x, y in room.items() if y != float("inf") and y > 0.002 * want[x]}
-        if not room:
-            break
-        rest = rest.join(picked.select("doc_id", "rate"), ["doc_id", "rate"], "left_anti")
-    if chosen is None:
-        chosen = units.filter("false").select("doc_id", "source", "n_tokens", "rate", "step")
-    w2 = W.partitionBy("doc_id").orderBy("rate")
-    chosen = chosen.withColumn("copy", F.row_number().over(w2)).withColumn("position_key", F.xxhash64("doc_id", "copy", F.lit(seed + 1)))
-    chosen = st.keep(chosen.select("doc_id", "source", "copy", "n_tokens", "position_key").repartitionByRange("position_key").sortWithinPartitions("position_key", "doc_id"), "chosen")
-    got = chosen.groupBy("source").agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("copies"), F.sum("n_tokens").alias("tokens"))
-    base = documents.sparkSession.createDataFrame([(r["source"], r["target_weight"] / weight, int(r["available"]), int(r["max_repeats"])) for r in have], "source string, target_share double, available_tokens long, max_repeats int")
+    plan = []
+    for r in have:
+        want, top = total * r["target_weight"] / weight, int(r["max_repeats"])
+        whole = want >= r["available"] * top * (1 - 1e-12)
+        cdf = [] if whole else distribution(rate_for(want / r["available"], top), top)
+        plan.append((r["source"], float(want), whole, cdf, top, r["target_weight"] / weight, int(r["available"])))
+    plan = st.keep(spark.createDataFrame(plan, "source string, want double, whole boolean, cdf array<double>, max_repeats int, target_share double, available_tokens long"), "plan")
+    sized = d.join(small(plan), "source")
+    tried = sized.filter("not whole").select("source", "want", "n_tokens", "doc_id", "cdf", "whole", "max_repeats", F.explode(F.sequence(F.lit(seed), F.lit(seed + DRAWS - 1))).alias("draw"))
+    tokens = tried.groupBy("source", "want", "draw").agg(F.sum(F.col("n_tokens") * uses(F.col("draw"))).alias("n"))
+    nearest = tokens.groupBy("source").agg(F.min(F.struct(F.abs(F.col("n") - F.col("want")).alias("off"), "draw")).alias("m")).select("source", F.col("m.draw").alias("draw"))
+    plan = st.keep(plan.join(nearest, "source", "left").fillna(seed, ["draw"]), "drawn")
+    chosen = d.join(small(plan), "source").withColumn("uses", uses(F.col("draw"))).filter("uses > 0").select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("copy"))
+    chosen = chosen.withColumn("position_key", F.xxhash64("doc_id", "copy", F.lit(seed - 1)))
+    chosen = st.keep(chosen.select("doc_id", "source", "copy", "n_tokens", "position_key").repartitionByRange("position_key").sortWithinPartitions("position_key", "doc_id", "copy"), "chosen")
+    got = chosen.groupBy("source").agg(F.sum((F.col("copy") == 1).cast("int")).alias("documents"), F.count(F.lit(1)).alias("copies"), F.sum("n_tokens").alias("tokens"))
     all_tokens = chosen.agg(F.sum("n_tokens")).first()[0] or 0
-    shares = base.join(got, "source", "left").fillna(0, ["documents", "copies", "tokens"])
+    shares = plan.select("source", "target_share", "available_tokens", "max_repeats").join(got, "source", "left").fillna(0, ["documents", "copies", "tokens"])
     ratio = F.col("tokens") / F.lit(float(all_tokens)) if all_tokens else F.lit(0.0)
     return chosen, shares.withColumn("actual_share", ratio)

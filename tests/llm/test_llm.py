@@ -185,6 +185,31 @@ def test_mixing(spark):
     assert all(x["tokens"] == x["available_tokens"] * cap[k] for k, x in over.items())
 
 
+def test_mixing_does_not_depend_on_length(spark):
+    """Half of the total asked for can be met; the source at its cap falls short, the others keep their proportions."""
+    r = random.Random(4)
+    docs = [(i, "word " * r.choice([5, 10, 400]), "ab"[i % 2]) for i in range(6000)] + [(i, "word " * 20, "c") for i in range(7000, 7100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    t = spark.createDataFrame([("a", 1.0, 3), ("b", 2.0, 2), ("c", 0.5, 1)], "source string, target_weight double, max_repeats int")
+    rows, shares = mixing.mix(df, t, 700_000)
+    s = {x["source"]: x for x in shares.collect()}
+    assert s["c"]["tokens"] == s["c"]["available_tokens"]
+    assert abs(s["a"]["tokens"] / s["b"]["tokens"] - 0.5) < 0.005
+    lengths = {i: len(x.split()) for i, x, _ in docs}
+    for source in "ab":
+        used = [lengths[x["doc_id"]] for x in rows.filter(F.col("source") == source).collect()]
+        share = {n: used.count(n) / len(used) for n in (5, 10, 400)}
+        assert all(abs(share[n] - 1 / 3) < 0.05 for n in share)
+
+
+def test_mixing_distribution():
+    for mean, top in ((0.3, 1), (0.9, 1), (1.7, 2), (2.0, 5), (0.01, 4)):
+        rate = mixing.rate_for(mean, top)
+        cdf = mixing.distribution(rate, top)
+        u = (np.arange(100_000) + 0.5) / 100_000
+        assert abs((u[:, None] > np.array(cdf)[None]).sum(1).mean() - mean) < 1e-3
+
+
 def test_residue(spark):
     bad = ["Dear {{ name }}, your note was moved.", "The [TODO: desk] curve is steep.", "Lorem ipsum dolor sit amet, porta morbi nullam.", "403 Forbidden\n\nYou do not have permission to view this post.\n\nRay: c8cef0fe", "Skip to content\n\nPlease turn on JS and cookies to continue.\nReload", "POUR CONTINUER, IL FAUT AUTORISER LES SCRIPTS ET LES COOKIES DANS LE NAVIGATEUR.", "foo bar foo bar foo bar", "Section 1: text\nItem 2: tbd", "Um fortzufahren, Skripte im Browser aktivieren."]
     good = ["Our job replaces `{{name}}` by the desk.", "```\n<td>{{ value }}</td>\n```\nWhy is it empty?", "We write $dF = {\\sigma} dW$ and ${{S_{t}}}$.", "JavaScript? No, plain SQL over the horizon table.", "My session expired before the boundary fixing.", "See [1] and [Smith, section 6] for the drift on [0, T].", "No.", "", None, "The feed says 'access denied' although the key is valid and the vendor sees no request from us at all.\nPlease enable JavaScript to view the comments."]
