@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ SHARD = 3000
 
 def items_of(capacities: list[int], path: str):
     """mapInPandas: documents to items. An item row holds, for the capacities in `caps`, the part of a document left
-    after its full containers: start, size and its distinct tokens with frequencies (packed as bytes)."""
+    after its full containers: start, size and its distinct tokens with frequencies (packed as bytes). A capacity is in one row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(path)
@@ -31,13 +32,14 @@ def items_of(capacities: list[int], path: str):
                 n = len(ids)
                 if n == 0:
                     continue
+                mark = xxhash.xxh3_64_intdigest(ids.tobytes()) - 2**63
                 tails: dict[int, list[int]] = {}
                 for c in capacities:
                     tails.setdefault(n - n % c if n > c else 0, []).append(c)
                 for start, caps in tails.items():
                     terms, tf = np.unique(ids[start:], return_counts=True)
-                    out.append((doc, source, n, start, n - start, caps, terms.astype("<u4").tobytes(), tf.astype("<u4").tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "source", "n_tokens", "start", "size", "caps", "terms", "tf"])
+                    out.append((doc, source, n, mark, start, n - start, caps, terms.astype("<u4").tobytes(), tf.astype("<u4").tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "source", "n_tokens", "mark", "start", "size", "caps", "terms", "tf"])
 
     return run
 
@@ -188,7 +190,7 @@ def pack(documents: DataFrame, containers: DataFrame, tokenizer: str = DEFAULT)
     A document longer than the capacity gives full containers of its own and its rest as an item; no other is divided.
     Items are sharded by source and hash into about SHARD items; a shard indexes its items
     and packs them; term counts and mean size are of all items. Null or
-    empty texts and null ids have no row; repeated ids count once; capacities that are null or below 1 are left out.
+    empty texts and null ids have no row; of a repeated id the text of most tokens counts, of equal sizes any one; capacities that are null or below 1 are left out.
     """
     st = Stages(documents.sparkSession)
     names: dict[int, list[str]] = {}
@@ -198,12 +200,14 @@ def pack(documents: DataFrame, containers: DataFrame, tokenizer: str = DEFAULT)
     if not names:
         return documents.sparkSession.createDataFrame([], schema)
     d = documents.filter("doc_id is not null and text <> ''").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    items = d.mapInPandas(items_of(sorted(names), tokenizer), "doc_id long, source string, n_tokens long, start long, size long, caps array<int>, terms binary, tf binary")
+    items = d.mapInPandas(items_of(sorted(names), tokenizer), "doc_id long, source string, n_tokens long, mark long, start long, size long, caps array<int>, terms binary, tf binary")
     items = st.keep(items, "items")
-    # of a repeated id the longest text counts
-    once = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("start").alias("starts"))
-    if not once.filter("rows > starts").isEmpty():
-        items = st.keep(items.dropDuplicates(["doc_id", "start"]), "once")
+    whole = items.filter(F.array_contains("caps", min(names))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct("n_tokens", "mark", "source")).alias("best"))
+    again = st.keep(whole.filter("rows > 1").select("doc_id", "best"), "again")
+    if not again.isEmpty():
+        best = F.struct("n_tokens", "mark", "source")
+        one = items.join(again, "doc_id").filter(best == F.col("best")).drop("best").dropDuplicates(["doc_id", "start"])
+        items = st.keep(items.join(again, "doc_id", "left_anti").unionByName(one), "once")
     counts = items.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     few = counts.count() <= 100_000
     counts = F.broadcast(counts) if few else counts

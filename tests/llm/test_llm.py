@@ -218,6 +218,15 @@ def test_residue(spark):
     assert residue.template_residue(df.filter("false")).count() == 0
 
 
+def test_packing_repeated_ids(spark):
+    rows = [(1, " swap" * 31, "a"), (1, " rate" * 101, "b"), (1, " rate" * 101, "b"), (2, " vol" * 70, None), (2, " vol" * 70, None), (3, " fx" * 5, "a"), (3, " cds" * 5, "a")]
+    df, boxes = spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame([("s", 64)], "container_name string, capacity_tokens int")
+    got = {}
+    for x in packing.pack(df, boxes).collect():
+        got.setdefault(x["doc_id"], []).append((x["start_token"], x["n_tokens"]))
+    assert {k: sorted(v) for k, v in got.items()} == {1: [(0, 64), (64, 37)], 2: [(0, 64), (64, 6)], 3: [(0, sum(n for _, n in got[3]))]}
+
+
 def test_packing_scores_every_term():
     # item 1 shares the 28 common terms of the seed, item 2 three rare ones
     terms = [np.arange(40, dtype=np.uint32), np.arange(12, 40, dtype=np.uint32), np.array([0, 1, 2, *range(50, 75)], np.uint32)]
