@@ -10,11 +10,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: set[str] = set()
+#: Folders to remove when the process ends: stages of live sessions, and the own folder where none is named.
+_STAGES: list[tuple[SparkSession, str]] = []
+_OWN: list[str] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder on whatever file system it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _sweep() -> None:
-    for path in _LOCAL:
+    for spark, path in _STAGES:
+        try:
+            _remove(spark, path)
+        except Exception:  # noqa: BLE001 - the session ended before: what is on a local path can still go
+            shutil.rmtree(path.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
+    for path in _OWN:
         shutil.rmtree(path, ignore_errors=True)
 
 
@@ -31,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = getattr(shared_dir, "own", None)
     if path is None:
         path = shared_dir.own = tempfile.mkdtemp(prefix="lodeseek-")
-        _LOCAL.add(path)
+        _OWN.append(path)
     return path
 
 
@@ -41,37 +54,69 @@ class Stages:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lodeseek-{uuid.uuid4().hex}"
-        if self.root.startswith(("file:", "/")):
-            _LOCAL.add(self.root.removeprefix("file://"))
+        _STAGES.append((spark, self.root))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Removes a stage that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Removes stages that nothing reads any more."""
+        for name in names:
+            _remove(self.spark, f"{self.root}/{name}")
+
+    def close(self) -> None:
+        """Removes all stages, once no result is read any more; else it happens when the process ends."""
+        _remove(self.spark, self.root)
+        _STAGES.remove((self.spark, self.root))
 
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Hot keys a partition. What is beyond has at most 1/SHARES of a fair partition's rows a key, so it needs no split.
+SHARES = 32
+
+
 def hot_keys(df: DataFrame, keys: list[str], least: int = 100_000) -> list:
-    """Keys with more rows than half a fair partition and `least`: at most 2 x partitions, so they fit the driver."""
+    """Keys with more than `least` rows, the SHARES x partitions largest: a bounded list for the driver."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least)
-    top = counts.orderBy(F.desc("_n")).limit(2 * parts(df.sparkSession)).collect()
+    top = counts.orderBy(F.desc("_n")).limit(SHARES * parts(df.sparkSession)).collect()
     return [tuple(r[k] for k in keys) for r in top]
 
 
 def hot_cold_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", least: int = 100_000) -> DataFrame:
     """Joins left with right, whose key is unique. Hot keys of left meet a broadcast of their few rows of right and are not
     shuffled; all others take an ordinary join. how: inner or left. Null keys count as unmatched."""
-    hot = [k for (k,) in hot_keys(left.filter(F.col(key).isNotNull()), [key], least)]
+    some = left.filter(F.col(key).isNotNull())
+    hot = [] if some.limit(least + 1).count() <= least else [k for (k,) in hot_keys(some, [key], least)]
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     return left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how).unionByName(left.filter(~is_hot).join(right.filter(~is_hot), key, how))
+
+
+def block_join(left: DataFrame, right: DataFrame, key: str, size: int = 4096) -> DataFrame:
+    """The inner join on a key that both sides may repeat. Keys with more than `size` rows of a side, or 1/SHARES of a fair
+    partition if that is more, are cut into blocks by hash, and every pair of blocks is a join key of its own: no task
+    gets a whole hot key. At most 2 x SHARES x partitions keys are that large, so their table can be broadcast."""
+    spark = left.sparkSession
+    both = left.select(key, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(key, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    counts = both.groupBy(key).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).filter((F.col("_l") > 0) & (F.col("_r") > 0))
+    total = counts.agg(F.sum(F.col("_l") + F.col("_r"))).first()[0] or 0
+    size = max(size, total // (SHARES * parts(spark)))
+    large = counts.filter((F.greatest("_l", "_r") > size) & F.col(key).isNotNull()).select(key, F.ceil(F.col("_l") / size).alias("_bl"), F.ceil(F.col("_r") / size).alias("_br"))
+    rows = large.collect()  # at most 2 x SHARES x partitions
+    if not rows:
+        return left.join(right, key)
+    large = F.broadcast(spark.createDataFrame(rows, large.schema))
+
+    def cut(df: DataFrame, own: str, other: str) -> DataFrame:
+        names = df.columns
+        df = df.join(large, key, "left").fillna(1, ["_bl", "_br"])
+        df = df.withColumn(own, F.pmod(F.xxhash64(*names), F.col("_bl" if own == "_i" else "_br")))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_br" if own == "_i" else "_bl") - 1))).select(*names, "_i", "_j")
+
+    return cut(left, "_i", "_j").join(cut(right, "_j", "_i"), [key, "_i", "_j"]).drop("_i", "_j")

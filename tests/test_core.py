@@ -10,7 +10,7 @@ from lodeseek.operators import evaluation as ev
 from lodeseek.operators import retrieval as r
 from lodeseek.operators import training as tr
 from lodeseek.plans.pipeline import build_retriever, evaluate
-from lodeseek.plans.stages import hot_cold_join
+from lodeseek.plans.stages import block_join, hot_cold_join
 from lodeseek.sources.posts import id_offset, read_npy, read_post_links, read_posts
 
 
@@ -168,3 +168,9 @@ def test_hot_cold_join(spark):
     right = spark.range(900).selectExpr("id as k", "id * 2 as w")
     for how in ("inner", "left"):
         assert sorted(hot_cold_join(left, right, "k", how, 100).collect(), key=str) == sorted(left.join(right, "k", how).collect(), key=str)
+
+
+def test_block_join(spark):
+    left = spark.range(900).selectExpr("if(id < 600, 1, id % 7) as k", "id as v").unionByName(spark.sql("select cast(null as long) as k, 5L as v"))
+    right = spark.range(500).selectExpr("if(id < 300, 1, id % 11) as k", "id as w").unionByName(spark.sql("select cast(null as long) as k, 6L as w"))
+    assert sorted(block_join(left, right, "k", 20).collect()) == sorted(left.join(right, "k").collect())
