@@ -31,17 +31,18 @@ def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
         best = st.keep(offers.groupBy("x").agg(F.min("s").alias("r"), F.max((F.col("s") == F.col("x")).cast("int")).alias("own")), f"best{r}")
         forests.append(best.filter("own = 0").select("x", "r"))
         left = hot_cold_join(offers, best.select("x", "r"), "x").filter("s <> r").select(F.col("s").alias("u"), F.col("r").alias("v"))
-        last, r = g, r + 1
+        r += 1
         g = st.keep(left.union(left.select("v", "u")).distinct(), f"g{r}")
-        for name in (f"low{r - 1}", f"offers{r - 1}", *([f"g{r - 1}"] if r > 1 else [])):
-            st.drop(name)
+        st.drop(f"low{r - 1}", f"offers{r - 1}", f"g{r - 1}")
     known = None
-    for k, f in enumerate(reversed(forests)):
+    for k, f in reversed(list(enumerate(forests))):
         if known is None:
             found = f.select("x", F.col("r").alias("g"))
         else:
             found = hot_cold_join(f, known.select(F.col("x").alias("r"), "g"), "r", "left").select("x", F.coalesce("g", "r").alias("g"))
-        known = st.keep(found if known is None else known.unionByName(found), f"known{k}")
+        found = st.keep(found, f"found{k}")
+        known = found if known is None else known.unionByName(found)
+        st.drop(f"best{k}")
     if known is None:
         return spark.createDataFrame([], "group_id long, member long")
     seeds = known.select("g").distinct()
