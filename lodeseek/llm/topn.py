@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from lodeseek.plans.stages import hot_keys, parts
 
 
-def top_per_group(rows: DataFrame, keys: list[str], item: str, score: str, n: int = 10, least: int = 50_000) -> DataFrame:
+def top_per_group(rows: DataFrame, keys: list[str], item: str, score: str, n: int = 10, least: int = 10_000) -> DataFrame:
     """keys, item, score, rank of the n best distinct items of each group: highest score first, then the smaller item.
 
-    Exact group counts name the heavy groups (over `least` rows, at most 2 x partitions of them). Their rows are salted,
+    Exact group counts name the heavy groups (over `least` rows; see hot_keys for their bound). Their rows are salted,
     range-sorted by (group, salt), cut to n a salt and merged; light groups take one window. Null and NaN scores and null
     items do not count; an item counts once with its highest score; null keys form a group like any other; an empty
     table gives an empty result; other columns are left out.
@@ -27,17 +27,13 @@ def top_per_group(rows: DataFrame, keys: list[str], item: str, score: str, n: in
 
     best = lambda df, by: df.groupBy(*by, item).agg(F.max(score).alias(score))
     if hot:
-        heavy = F.lit(False)
-        for key in hot:
-            one = F.lit(True)
-            for k, v in zip(keys, key):
-                one &= F.col(k).eqNullSafe(F.lit(v))
-            heavy |= one
+        named = F.broadcast(spark.createDataFrame(hot, ok.select(*keys).schema).select(*[F.col(k).alias(f"_h{k}") for k in keys]))
+        match = [F.col(k).eqNullSafe(F.col(f"_h{k}")) for k in keys]
         salts = parts(spark)
-        h = ok.filter(heavy).withColumn("_salt", F.pmod(F.xxhash64(item), F.lit(salts)).cast("int"))
+        h = ok.join(named, match, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(item), F.lit(salts)).cast("int"))
         h = h.repartitionByRange(salts, *keys, "_salt")
         h = cut(best(h, [*keys, "_salt"]), [*keys, "_salt"]).drop("_r", "_salt")
-        light = ok.filter(~heavy)
+        light = ok.join(named, match, "left_anti")
         out = cut(best(light.repartition(*keys), keys), keys).unionByName(cut(h, keys))
     else:
         out = cut(best(ok.repartition(*keys), keys), keys)
