@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm.neardup import fingerprint_table, verified
-from lodeseek.plans.stages import Stages
+from lodeseek.plans.stages import Stages, block_join, hot_cold_join
 
 
 def unified_split(c: Column) -> Column:
@@ -36,21 +36,23 @@ def split_overlaps(queries: DataFrame, width: int = 3, num: int = 3, den: int =
     t = q.select("id", "split", "label_source", canonical(F.col("title")).alias("t")).filter("t is not null").withColumn("h", F.xxhash64("t"))
     ev = t.filter(~is_train).select(F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), "label_source", "h", F.col("t").alias("t1"))
     tr = t.filter(is_train).select(F.col("id").alias("train_id"), "h", F.col("t").alias("t2")).distinct()
-    titles = ev.join(tr, "h").filter("t1 = t2").select("eval_id", "train_id", "eval_split", "label_source", F.lit("title").alias("kind"))
+    titles = block_join(ev, tr, "h").filter("t1 = t2").select("eval_id", "train_id", "eval_split", "label_source", F.lit("title").alias("kind"))
 
     prints = st.keep(fingerprint_table(q.select("id", "text").distinct(), width, least), "prints")
     held = prints.select("id", "code").distinct().join(q.select("id", "split", "label_source").distinct(), "id")
     held = st.keep(held, "held")
     kinds = held.groupBy("code").agg(F.min("id").alias("rep"), F.max((~is_train).cast("int")).alias("ev"), F.max(is_train.cast("int")).alias("tr"))
     kinds = st.keep(kinds, "kinds")
-    bands = prints.join(kinds, "code").filter("id = rep").select("rep", "ev", "tr", F.explode("bands").alias("band"))
-    cand = bands.filter("ev = 1").select("band", F.col("rep").alias("a")).join(bands.filter("tr = 1").select("band", F.col("rep").alias("b")), "band").filter("a <> b").select("a", "b").distinct()
+    bands = hot_cold_join(prints, kinds, "code").filter("id = rep").select("rep", "ev", "tr", F.explode("bands").alias("band")).distinct()
+    bands = st.keep(bands, "bands")
+    cand = block_join(bands.filter("ev = 1").select("band", F.col("rep").alias("a")), bands.filter("tr = 1").select("band", F.col("rep").alias("b")), "band").filter("a <> b").select("a", "b").distinct()
     near = verified(st, "near", st.keep(cand, "cand"), q.select("id", "text"), width, num, den)
     same = kinds.filter("ev = 1 and tr = 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    reps = held.join(kinds.select("code", "rep"), "code")
+    reps = st.keep(hot_cold_join(held, kinds.select("code", "rep"), "code"), "reps")
     left = reps.filter(~is_train).select(F.col("rep").alias("a"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), "label_source")
     right = reps.filter(is_train).select(F.col("rep").alias("b"), F.col("id").alias("train_id"))
-    texts = near.union(same).join(left, "a").join(right, "b").select("eval_id", "train_id", "eval_split", "label_source", F.lit("text").alias("kind"))
+    some = st.keep(block_join(st.keep(near.union(same), "class_pairs"), left, "a"), "eval_pairs")
+    texts = block_join(some, right, "b").select("eval_id", "train_id", "eval_split", "label_source", F.lit("text").alias("kind"))
     return titles.union(texts).filter("eval_id <> train_id").distinct()
 
 

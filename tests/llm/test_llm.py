@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm import components, knn, mixing, neardup, overlap, packing, residue, sketch, splits, topn
 from lodeseek.llm.tokens import encoding
+from lodeseek.plans.stages import block_join
 
 
 def brute_groups(pairs):
@@ -97,6 +98,24 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicate_groups(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("hot, dense, stars", [(1, 64, 8), (20_000, 0, 2), (1, 0, 0)])
+def test_near_duplicates_in_hot_bands(spark, monkeypatch, hot, dense, stars):
+    """Every band hot or not, further stars or all pairs at once: the same groups as by brute force."""
+    for name, value in (("SAMPLE", 1), ("HOT", hot), ("DENSE", dense), ("STARS", stars)):
+        monkeypatch.setattr(neardup, name, value)
+    monkeypatch.setattr(neardup, "block_join", lambda x, y, k: block_join(x, y, k, 3))
+    r = random.Random(31)
+    common = [f"c{i}" for i in range(30)]
+    texts = _texts(33, 4, 5)
+    for k in range(60):  # chains of edits around a common text: bands shared by several groups
+        t = common + [f"v{r.randrange(12)}" for _ in range(6 + k % 25)]
+        r.shuffle(t) if k % 3 == 0 else None
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {tuple(x) for x in neardup.near_duplicate_groups(df, 3, 3, 5, 20).collect()}
+    assert got == brute_groups([(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if _near(texts[i], texts[j], 3, 3, 5, 20)])
+
+
 def test_overlaps(spark):
     t = _texts(7, 4, 2)
     rows = [(1, "A title?", t[0], " Training"), (2, "a TITLE", t[1], "DEV"), (3, "!!!", t[2], "test"), (4, "", t[3], "train"), (5, None, None, "val"), (6, "x", t[4], None), (7, "y", t[5], "train"), (8, "z", t[4], "testing"), (2, "a TITLE", t[1], "DEV")]
