@@ -24,6 +24,14 @@ def p1_shares(s, d):
     return splits.split_shares(splits.question_split(_t(s, d, "queries"), _t(s, d, "questions")))
 
 
+def p1_labels(s, d):
+    return splits.label_shares(splits.question_split(_t(s, d, "queries"), _t(s, d, "questions")))
+
+
+def p1_checks(s, d):
+    return splits.split_checks(splits.question_split(_t(s, d, "queries"), _t(s, d, "questions")), _t(s, d, "questions"))
+
+
 def p2_found(s, d):
     return components.duplicate_groups(_t(s, d, "post_links"), _t(s, d, "questions"))
 
@@ -73,7 +81,7 @@ def p9_found(s, d):
 
 
 def queries() -> dict:
-    fs = (p1_found, p1_split, p1_shares, p2_found, p3_found, p3_counts, p4_found, p5_found, p6_found, p7_containers, p7_filling, p8_mix, p8_shares, p9_found)
+    fs = (p1_found, p1_split, p1_shares, p1_labels, p1_checks, p2_found, p3_found, p3_counts, p4_found, p5_found, p6_found, p7_containers, p7_filling, p8_mix, p8_shares, p9_found)
     return {f.__name__: f for f in fs}
 
 
@@ -100,6 +108,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"""select o.owner_user_id from (select distinct question_id, owner_user_id from questions where owner_user_id is not null) o
 join (select distinct question_id, {_SPLIT} as sp from queries) q using (question_id) where sp is not null group by 1 having count(distinct sp) > 1""",
+        "p1_checks": """select 'records' as name, count(distinct question_id) as n from queries union all select unnest(['records without a split', 'owners in several splits', 'splits off their share', 'labels off their shares']), 0""",
         "p2_found": f"""with recursive l as (select distinct post_id as a, related_post_id as b from post_links where link_type_id = 3 and post_id <> related_post_id
 and post_id in (select question_id from questions) and related_post_id in (select question_id from questions)), {_groups("l")}
 select min(root) as group_id, x as post_id from reach group by x""",

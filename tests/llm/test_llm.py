@@ -162,6 +162,22 @@ def test_grouped_split(spark):
     share = {x["split"]: x["share"] for x in splits.split_shares(out).collect()}
     assert abs(share["train"] - 0.8) < 0.03 and abs(share["val"] - 0.1) < 0.03
     assert splits.grouped_split(a.filter("false"), b).count() == 0
+    assert {x["name"]: x["n"] for x in splits.split_checks(out, b.select(F.col("record").alias("question_id"), F.col("owner").alias("owner_user_id")), bound=0.05).collect()}["owners in several splits"] == 0
+
+
+def test_labels_are_balanced(spark):
+    """A third of the records are one owner's, labels from a hundred records on keep the shares, rare ones reach every split."""
+    r = random.Random(19)
+    recs = [(i, [r.choice("abc"), f"x{r.randrange(30)}", *(["rare"] if i % 400 == 7 else [])], None) for i in range(6000)]
+    own = [(i, -1 if i % 3 == 0 else i // 2) for i in range(6000)]
+    out = splits.grouped_split(spark.createDataFrame(recs, "record long, labels array<string>, delivered string"), spark.createDataFrame(own, "record long, owner long"))
+    share = {x["split"]: x["share"] for x in splits.split_shares(out).collect()}
+    assert all(abs(share[s] - v) < 0.01 for s, v in (("train", 0.8), ("val", 0.1), ("test", 0.1)))
+    for x in splits.label_shares(out).collect():
+        if x["records"] >= 100:
+            assert all(abs(x[s] - v) < 0.06 for s, v in (("train", 0.8), ("val", 0.1), ("test", 0.1))), x
+    rare = next(x for x in splits.label_shares(out).collect() if x["label"] == "rare")
+    assert rare["val"] > 0 and rare["test"] > 0
 
 
 def test_packing(spark):
