@@ -36,7 +36,7 @@ def _asked(s, d):
 
 
 def _bm25(s, d, k, k1=1.2, b=0.75):
-    return r.bm25_search(r.bm25_weights(_corpus(s, d), k1, b), _asked(s, d), k)
+    return r.bm25(_corpus(s, d), _asked(s, d), k, k1, b)
 
 
 def _qrels(s, d):
@@ -62,7 +62,8 @@ def dense_topk(s, d):
 
 
 def rrf_hybrid(s, d):
-    return r.fuse([_bm25(s, d, 100), _bm25(s, d, 100, 0.9, 0.4)], 10)
+    both = r.Bm25Index(_corpus(s, d)).matches(_asked(s, d))
+    return r.fuse([both.search(100), both.search(100, 0.9, 0.4)], 10)
 
 
 def rerank_tail(s, d):

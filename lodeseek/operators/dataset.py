@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeseek.functions.text import html_to_text, normalize_title, query_text
-from lodeseek.plans.stages import Stages
+from lodeseek.operators.evaluation import text_stats
+from lodeseek.plans.stages import Stages, hot_cold_join, numbered
 
 PRIORITY = {"train": 0, "val": 1, "test": 2}
 
@@ -38,21 +39,15 @@ def build_qrels(questions: DataFrame, answers: DataFrame, least: int = 2) -> Dat
 def time_split(queries: DataFrame, val: float = 0.1, test: float = 0.1) -> DataFrame:
     """Adds split: the latest share is test, the one before val, the rest train, by (creation_date, question_id).
 
-    Positions come from a range-partitioned sort and the partitions' counts, not from one global window."""
+    Rows with equal date and id have no order of their own, so ids must be unique."""
     if not 0 < val + test < 1:
         raise ValueError("val + test must be between 0 and 1")
-    st = Stages(queries.sparkSession)
-    q = st.keep(queries.repartitionByRange("creation_date", "question_id").withColumn("_p", F.spark_partition_id()), "sorted")
-    counts = {r["_p"]: r["n"] for r in q.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per partition
-    n, starts = 0, []
-    for p in sorted(counts):
-        starts.append((p, n))
-        n += counts[p]
-    offsets = F.broadcast(queries.sparkSession.createDataFrame(starts, "_p int, _start long"))
-    pos = F.col("_start") + F.row_number().over(W.partitionBy("_p").orderBy("creation_date", "question_id"))
+    q = numbered(queries, "creation_date", "question_id")
+    n = q.count()
     n_test, n_val = round(n * test), round(n * val)
+    pos = F.col("_pos") + 1
     split = F.when(pos > n - n_test, "test").when(pos > n - n_test - n_val, "val").otherwise("train")
-    return q.join(offsets, "_p").withColumn("split", split).drop("_p", "_start")
+    return q.withColumn("split", split).drop("_pos")
 
 
 def split_bounds(queries: DataFrame) -> DataFrame:
@@ -76,11 +71,11 @@ def components(edges: DataFrame) -> DataFrame:
     lab = st.keep(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")), "l0")
     r = 0
     while True:
-        low = e.join(lab.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        new = lab.join(low, "a").select("a", F.least("c", "m").alias("n"), F.col("c").alias("old"))
-        jump = lab.select(F.col("a").alias("n"), F.col("c").alias("j"))
+        low = hot_cold_join(e, lab.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
+        new = st.keep(lab.join(low, "a").select("a", F.least("c", "m").alias("n"), F.col("c").alias("old")), f"n{r}")
         r += 1
-        both = st.keep(new.join(jump, "n").select("a", F.least("n", "j").alias("c"), "old"), f"l{r}")
+        both = st.keep(hot_cold_join(new, lab.select(F.col("a").alias("n"), F.col("c").alias("j")), "n").select("a", F.least("n", "j").alias("c"), "old"), f"l{r}")
+        st.drop(f"l{r - 1}", f"n{r - 1}")
         done = both.filter("c <> old").isEmpty()
         lab = both.select("a", "c")
         if done:
@@ -104,12 +99,59 @@ def drop_noisy_held_out(queries: DataFrame) -> DataFrame:
     return queries.filter(~(F.col("split").isin("val", "test") & (F.coalesce("label_source", F.lit("")) == "top_voted")))
 
 
+def with_label_source(queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """Adds the label_source of a query's primary judgement, null without one."""
+    return queries.drop("label_source").join(qrels.filter("grade = 2").select("question_id", "label_source"), "question_id", "left")
+
+
 def check_invariants(corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> None:
+    """Raises AssertionError, naming what does not hold, instead of training on a broken dataset."""
+
     def empty(df: DataFrame, what: str) -> None:
         if not df.isEmpty():
             raise AssertionError(what)
 
+    empty(queries.select("question_id", "split").distinct().groupBy("question_id").count().filter("count > 1"), "splits share questions")
     empty(queries.groupBy("question_id").count().filter("count > 1"), "a query occurs twice")
     empty(qrels.join(queries, "question_id", "left_anti"), "a judgement has no query")
-    empty(qrels.join(corpus, "answer_id", "left_anti"), "a judgement has no document")
-    empty(queries.join(qrels.filter("grade = 2"), "question_id", "left_anti"), "a query has no primary judgement")
+    empty(qrels.join(corpus, "answer_id", "left_anti"), "a judged answer is missing from the corpus")
+    primary = qrels.filter("grade = 2")
+    empty(primary.groupBy("question_id").count().filter("count > 1"), "a question has two primary judgements")
+    empty(queries.join(primary, "question_id", "left_anti"), "a query has no primary judgement")
+    empty(queries.filter("split in ('val', 'test') and not (label_source <=> 'accepted')"), "a held-out query has no accepted answer")
+
+
+def judgements_per_query(queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """One row (judgements, queries, ratio), the ratio rounded half-even to two decimals."""
+    n = queries.agg(F.count(F.lit(1)).alias("queries"))
+    return qrels.agg(F.count(F.lit(1)).alias("judgements")).crossJoin(n).withColumn("ratio", F.bround(F.col("judgements") / F.col("queries"), 2))  # a row each
+
+
+def build_dataset(questions: DataFrame, answers: DataFrame, links: DataFrame, val: float = 0.1, test: float = 0.1) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(corpus, queries, qrels, dropped) of a dump: texts cleaned, answers judged, questions with a primary judgement split by
+    date, duplicates across splits dropped, then held-out questions without an accepted answer. The result is checked."""
+    st = Stages(questions.sparkSession)
+    corpus = st.keep(build_corpus(answers), "corpus")
+    qrels = st.keep(build_qrels(questions, answers.join(corpus.select("answer_id"), "answer_id", "left_semi")), "judged")
+    queries = build_queries(questions).join(qrels.filter("grade = 2").select("question_id"), "question_id", "left_semi")
+    kept, dropped = cross_split_duplicates(st.keep(time_split(queries, val, test), "split"), links)
+    queries = st.keep(drop_noisy_held_out(with_label_source(kept, qrels)), "queries")
+    qrels = st.keep(qrels.join(queries.select("question_id"), "question_id", "left_semi"), "qrels")
+    check_invariants(corpus, queries, qrels)
+    return corpus, queries, qrels, st.keep(dropped, "dropped")
+
+
+def dataset_stats(questions: DataFrame, answers: DataFrame, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, dropped: DataFrame) -> dict:
+    """The record that goes with a built dataset; aggregates of a few rows each are collected."""
+    rows = lambda df, key, value: {str(r[key]): r[value] for r in df.collect()}
+    splits = [r["split"] for r in queries.select("split").distinct().orderBy("split").collect()]  # three
+    return {
+        "posts": {"questions": questions.count(), "answers": answers.count()},
+        "corpus": text_stats(corpus, "text").first().asDict(),
+        "queries_by_split": {s: text_stats(queries.filter(F.col("split") == s), "text").first().asDict() for s in splits},
+        "split_boundaries": {r["split"]: {"first": r["first"], "last": r["last"], "count": r["n"]} for r in split_bounds(queries).collect()},
+        "label_sources": rows(queries.groupBy("label_source").count(), "label_source", "count"),
+        "qrels_by_grade": rows(qrels.groupBy("grade").count(), "grade", "count"),
+        "judgements_per_query": judgements_per_query(queries, qrels).first()["ratio"],
+        "dropped_as_cross_split_duplicates": dropped.count(),
+    }

@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodeseek.plans.stages import Stages, numbered
+
 RANDOM_RANK = 10_000
+#: Slots a question draws at once.
+DRAWS = 32
 
 
 def _allowed(cand: DataFrame, corpus: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -24,24 +28,33 @@ def mine_negatives(run: DataFrame, corpus: DataFrame, qrels: DataFrame, per_quer
     return _allowed(c, corpus, qrels).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_query).select("question_id", "answer_id", "rank", F.lit(source).alias("source"))
 
 
-def random_negatives(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, per_query: int = 2, seed: int = 17, draws: int = 32) -> DataFrame:
-    """per_query allowed documents per question, drawn by hashed slots: slot -> md5 -> position in the corpus by answer_id."""
-    docs = corpus.select("answer_id").distinct()
-    n = docs.count()
+def random_negatives(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, per_query: int = 2, seed: int = 17) -> DataFrame:
+    """per_query allowed documents per question, drawn by hashed slots: slot -> md5 -> position in the corpus by answer_id.
+    Questions that DRAWS slots leave short draw twice as many more, again and again; if a question is still short after
+    64 slots a document, ValueError says that too few documents are allowed."""
+    st = Stages(queries.sparkSession)
+    pos = st.keep(numbered(corpus.select("answer_id").distinct(), "answer_id"), "positions")
+    n = pos.count()
     if n <= per_query:
         raise ValueError("the corpus must exceed per_query")
-    pos = docs.withColumn("_pos", positions(docs, "answer_id"))
     slot = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("question_id").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long") % n
-    c = queries.select("question_id").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_pos", slot)
-    c = c.join(pos, "_pos").groupBy("question_id", "answer_id").agg(F.min("slot").alias("slot"))
-    w = W.partitionBy("question_id").orderBy("slot")
-    ok = _allowed(c, corpus, qrels).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_query)
-    return ok.select("question_id", "answer_id", (F.col("_r") + RANDOM_RANK - 1).alias("rank"), F.lit("random").alias("source"))
-
-
-def positions(df: DataFrame, key: str) -> Column:
-    """0-based positions in key order. A window over the whole table: for id tables of one column only."""
-    return (F.row_number().over(W.orderBy(key)) - 1).cast("long")
+    left, out, first, r = queries.select("question_id").distinct(), None, 0, 0
+    while True:
+        end = 2 * first + DRAWS
+        # a short question draws its earlier slots again, so that ranks go by slot throughout
+        c = left.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(end - 1)))).withColumn("_pos", slot)
+        c = c.join(pos, "_pos").groupBy("question_id", "answer_id").agg(F.min("slot").alias("slot"))
+        w = W.partitionBy("question_id").orderBy("slot")
+        ok = st.keep(_allowed(c, corpus, qrels).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_query), f"drawn{r}")
+        full = ok.filter(F.col("_r") == per_query).select("question_id")
+        part = ok.join(full, "question_id", "left_semi")
+        out = part if out is None else out.unionByName(part)
+        left = st.keep(left.join(full, "question_id", "left_anti"), f"short{r}")
+        if left.isEmpty():
+            return out.select("question_id", "answer_id", (F.col("_r") + RANDOM_RANK - 1).alias("rank"), F.lit("random").alias("source"))
+        if end > 64 * n + DRAWS:
+            raise ValueError("a question has fewer allowed documents than per_query")
+        first, r = end, r + 1
 
 
 def combine_negatives(tables: list[DataFrame]) -> DataFrame:
@@ -59,6 +72,8 @@ def training_pairs(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, nega
     first; questions that fall short are dropped."""
     if (hard or random) and negatives is None:
         raise ValueError("negatives were asked for without a table")
+    if queries.filter(F.col("split") == split).isEmpty():
+        raise ValueError(f"no queries in split {split!r}")
     pairs = qrels.filter("grade = 2").join(queries.filter(F.col("split") == split).select("question_id"), "question_id", "left_semi").join(corpus.select("answer_id").distinct(), "answer_id", "left_semi").select("question_id", "answer_id")
     if not hard and not random:
         return pairs.withColumn("negatives", F.array().cast("array<long>"))
@@ -76,11 +91,24 @@ def candidates(pairs: DataFrame) -> DataFrame:
 
 def batches(pairs: DataFrame, size: int, seed: int = 17) -> DataFrame:
     """Adds batch: full batches of a seeded shuffle; the rest is left out, fewer than one batch is an error."""
-    n = pairs.count()
+    order = numbered(pairs.withColumn("_h", F.xxhash64("question_id", "answer_id", F.lit(seed))), "_h", "question_id", "answer_id")
+    n = order.count()
     if n < size:
         raise ValueError("fewer pairs than one batch")
-    order = F.row_number().over(W.orderBy(F.xxhash64("question_id", "answer_id", F.lit(seed)), "question_id", "answer_id")) - 1
-    return pairs.withColumn("batch", F.floor(order / size)).filter(F.col("batch") < n // size)
+    return order.withColumn("batch", F.floor(F.col("_pos") / size)).filter(F.col("batch") < n // size).drop("_pos", "_h")
+
+
+def collate(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(question_id, offset, query, text): what a scorer reads of each pair, the positive at offset 0. Questions must have
+    equally many negatives, and every text must exist."""
+    sizes = pairs.select(F.size("negatives").alias("n")).distinct().limit(2).count()
+    if sizes > 1:
+        raise ValueError("questions have different numbers of negatives")
+    q, c = queries.select("question_id", F.col("text").alias("query")), corpus.select("answer_id", "text")
+    out = candidates(pairs).join(q, "question_id", "left").join(c, "answer_id", "left")
+    if not out.filter("query is null or text is null").isEmpty():
+        raise ValueError("a question or an answer has no text")
+    return out.select("question_id", "offset", "query", "text")
 
 
 def _dot(x: str, y: str) -> Column:
@@ -124,3 +152,14 @@ def warmup_decay(step: Column, warmup: int, total: int) -> Column:
     """(step + 1) / warmup, then a line down to 0 at the last step."""
     down = F.greatest(F.lit(0.0), (F.lit(total) - step) / F.lit(max(1, total - warmup)))
     return F.when(step < warmup, (step + 1) / F.lit(max(1, warmup))).otherwise(down)
+
+
+def limit_pairs(pairs: DataFrame, n: int | None) -> DataFrame:
+    """The first n pairs by question and answer; all without n."""
+    return pairs if n is None else pairs.orderBy("question_id", "answer_id").limit(n)
+
+
+def parameter_groups(parameters: dict[str, int], weight_decay: float) -> list[dict]:
+    """Names of parameters (name -> number of dimensions) with and without weight decay: biases and vectors take none."""
+    plain = [n for n, dims in parameters.items() if dims <= 1 or n.endswith("bias")]
+    return [{"names": [n for n in parameters if n not in plain], "weight_decay": weight_decay}, {"names": plain, "weight_decay": 0.0}]

@@ -20,7 +20,7 @@ def build_retriever(spec: dict) -> Callable[[DataFrame, DataFrame, int], DataFra
     """{retriever, parameters} to a function (corpus, queries, k) -> run; nested for hybrid (retrievers) and rerank (base)."""
     kind, p = spec.get("retriever"), dict(spec.get("parameters") or {})
     if kind == "bm25":
-        return lambda c, q, k: r.bm25_search(r.bm25_weights(c, p.get("k1", 1.2), p.get("b", 0.75)), q, k)
+        return lambda c, q, k: r.bm25(c, q, k, p.get("k1", 1.2), p.get("b", 0.75))
     if kind == "dense":
         return lambda c, q, k: r.dense_search(c, q, k)
     if kind == "hybrid":

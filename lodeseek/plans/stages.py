@@ -76,6 +76,20 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """The rows with their 0-based position `_pos` in an order without ties: a range-partitioned sort and the counts of
+    its partitions, a row each on the driver, instead of a window over the whole table."""
+    spark = df.sparkSession
+    by = df.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    by = Stages(spark).keep(by, "sorted")
+    piece, n, starts = F.shiftright("_at", 33), 0, []
+    for r in sorted(by.groupBy(piece.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        starts.append((r["p"], n - (r["p"] << 33)))
+        n += r["n"]
+    starts = F.broadcast(spark.createDataFrame(starts, "_p long, _start long"))
+    return by.withColumn("_p", piece).join(starts, "_p").withColumn("_pos", F.col("_at") + F.col("_start")).drop("_p", "_at", "_start")
+
+
 #: Hot keys a partition. What is beyond has at most 1/SHARES of a fair partition's rows a key, so it needs no split.
 SHARES = 32
 

@@ -51,14 +51,14 @@ def test_npy(spark, tmp_path):
 def test_bm25(spark):
     c = spark.createDataFrame([(30, "delta delta gamma"), (10, "delta"), (20, "gamma")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "delta delta unknown")], "query_id long, text string")
-    run = r.bm25_search(r.bm25_weights(c, 1.2, 0.0), q, 10).orderBy("rank").collect()
+    run = r.bm25(c, q, 10, 1.2, 0.0).orderBy("rank").collect()
     idf = math.log(1 + 1.5 / 2.5)
     assert [x["doc_id"] for x in run] == [30, 10]
     assert run[0]["score"] == pytest.approx(idf * 2 * 2.2 / 3.2, abs=1e-8) and run[1]["score"] == pytest.approx(idf, abs=1e-8)
     with pytest.raises(ValueError):
-        r.bm25_weights(c, 0)
+        r.bm25(c, q, 10, 0)
     with pytest.raises(ValueError):
-        r.bm25_weights(c, 1, 2)
+        r.bm25(c, q, 10, 1, 2)
 
 
 def test_dense_and_ivf(spark):
