@@ -41,8 +41,9 @@ def word_count(c: Column) -> Column:
 class _Text(HTMLParser):
     """Collects text; code is fenced or quoted, block tags become line breaks, images and scripts vanish."""
 
-    AROUND = frozenset("p div h1 h2 h3 h4 h5 h6 blockquote hr".split())
-    AFTER = frozenset("br li tr".split())
+    # Tags with line breaks on both sides, and behind only.
+    AROUND = frozenset({"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "hr"})
+    AFTER = frozenset({"br", "li", "tr"})
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

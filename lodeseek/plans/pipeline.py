@@ -1,60 +1,71 @@
-"""Retriever specifications, evaluation and reports."""
+"""Retriever specifications and their evaluation."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.functions.encoders import ENCODERS
 from lodeseek.operators import evaluation as ev
 from lodeseek.operators import retrieval as r
+from lodeseek.plans.stages import Stages
 
-#: Pair scorers by name; a learned one is registered here by its user.
+Retriever = Callable[[DataFrame, DataFrame, int], DataFrame]
+#: Pair scorers by name; a learned one is registered here by its user, see retrieval.batch_scorer.
 SCORERS: dict[str, Callable] = {"overlap": r.overlap_scorer}
 
 
-def build_retriever(spec: dict) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
-    """{retriever, parameters} to a function (corpus, queries, k) -> run; nested for hybrid (retrievers) and rerank (base)."""
+def _vectors(df: DataFrame, p: dict) -> DataFrame:
+    return df if "embedding" in df.columns else r.encode(df, ENCODERS[p.get("encoder", "hashing")](p))
+
+
+def combine(spec: dict, parts: list[Retriever]) -> Retriever:
+    """The retriever of a specification's top level over the retrievers of the levels below."""
     kind, p = spec.get("retriever"), dict(spec.get("parameters") or {})
     if kind == "bm25":
         return lambda c, q, k: r.bm25(c, q, k, p.get("k1", 1.2), p.get("b", 0.75))
     if kind == "dense":
-        return lambda c, q, k: r.dense_search(c, q, k)
+        return lambda c, q, k: r.dense_search(_vectors(c, p), _vectors(q, p), k)
+    if kind == "approximate":
+        return lambda c, q, k: r.vector_search(_vectors(c, p), _vectors(q, p), k, p.get("exact", False), p.get("cells", 256), p.get("nprobe", 8))
     if kind == "hybrid":
-        children, depth = [build_retriever(s) for s in p["retrievers"]], p.get("depth", 100)
-        return lambda c, q, k: r.fuse([f(c, q, max(k, depth)) for f in children], k, p.get("rrf_k", 60), depth, p.get("weights"))
+        depth = p.get("depth", 100)
+        return lambda c, q, k: r.fuse([f(c, q, max(k, depth)) for f in parts], k, p.get("rrf_k", 60), depth, p.get("weights"))
     if kind == "rerank":
-        base, depth, scorer = build_retriever(p["base"]), p.get("depth", 50), SCORERS[p.get("scorer", "overlap")]
-        return lambda c, q, k: r.rerank(base(c, q, max(k, depth)), q, c, scorer, k, depth)
+        depth, scorer = p.get("depth", 50), SCORERS[p.get("scorer", "overlap")]
+        return lambda c, q, k: r.rerank(parts[0](c, q, max(k, depth)), q, c, scorer, k, depth)
     raise ValueError(f"unknown retriever {kind!r}")
 
 
+def build_retriever(spec: dict) -> Retriever:
+    """{retriever, parameters} to a function (corpus, queries, k) -> run; nested for hybrid (retrievers) and rerank (base).
+    The specification is not changed."""
+    kind, p = spec.get("retriever"), spec.get("parameters") or {}
+    below = p["retrievers"] if kind == "hybrid" else [p["base"]] if kind == "rerank" else []
+    return combine(spec, [build_retriever(s) for s in below])
+
+
 def evaluate(spec: dict, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, split: str = "val", k: int = 100) -> tuple[dict, DataFrame]:
-    """(record, per-query metrics) of the queries of a split, all in one plan."""
+    """(metrics, timing and counts; metrics per query) of the queries of a split, all in one plan."""
     if k < 100:
         raise ValueError("k must be 100 or more")
     q = queries.filter(F.col("split") == split)
     if q.isEmpty():
         raise ValueError(f"no queries in split {split!r}")
-    began = time.time()
-    run = build_retriever(spec)(corpus, q, k)
+    st, began = Stages(corpus.sparkSession), time.perf_counter()
+    plan = build_retriever(spec)(corpus, q, k)
+    indexed = time.perf_counter() - began
+    run = st.keep(plan, "run")
+    searched = time.perf_counter() - began - indexed
     judged = qrels.join(q.select("query_id"), "query_id", "left_semi")
     if not q.join(judged, "query_id", "left_anti").isEmpty():
         raise ValueError("a query has no judgement")
-    per = ev.per_query_metrics(run, judged).cache()
+    per = st.keep(ev.per_query_metrics(run, judged), "per_query")
+    n = per.count()
+    # a batch is one plan: its time by query stands for the latency
+    timing = {"index_seconds": round(indexed, 3), "search_seconds": round(searched, 3), "search_ms_per_query_p50": round(1000 * searched / n, 3)}
     means = ev.mean_metrics(per).first().asDict()
-    record = {"spec": spec, "split": split, "k": k, "metrics": means, "seconds_per_batch": round(time.time() - began, 3), "created": datetime.now(UTC).isoformat()}
-    return record, per
-
-
-def difference(d: dict) -> str:
-    return f"{d['mean_difference']:+.4f} [{d['ci_low']:+.4f}, {d['ci_high']:+.4f}] p={d['p_value']:.4f}"
-
-
-def results_table(records: dict[str, dict]) -> str:
-    """Markdown, a row per named record."""
-    head = "| run | " + " | ".join(ev.METRICS) + " |\n|" + " --- |" * (1 + len(ev.METRICS))
-    return "\n".join([head, *(f"| {n} | " + " | ".join(f"{x['metrics'][m]:.4f}" for m in ev.METRICS) + " |" for n, x in sorted(records.items()))]) + "\n"
+    return {"metrics": {m: means[m] for m in ev.METRICS}, "timing": timing, "counts": {"documents": corpus.count(), "queries": n, "max_results": k}}, per
