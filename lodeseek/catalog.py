@@ -14,8 +14,10 @@ from lodeseek.functions import text as tx
 from lodeseek.operators import dataset as ds
 from lodeseek.operators import evaluation as ev
 from lodeseek.operators import retrieval as r
+from lodeseek.operators import studies
 from lodeseek.operators import training as tr
-from lodeseek.sources.posts import read_table
+from lodeseek.plans.stages import Stages
+from lodeseek.sources.posts import id_offset, read_table, shift_ids
 
 
 def _corpus(s: SparkSession, d: str) -> DataFrame:
@@ -152,9 +154,92 @@ def value_counts(s, d):
 
 def bootstrap_compare(s, d):
     judged = _qrels(s, d).join(_asked(s, d), "query_id", "left_semi")
-    a, b = (ev.per_query_metrics(_bm25(s, d, 100, *p), judged) for p in ((1.2, 0.75), (0.9, 0.4)))
-    rec = ev.paired_bootstrap(a, b, "ndcg_at_10")
-    return s.createDataFrame([tuple(rec.values())], list(rec))
+    both = r.Bm25Index(_corpus(s, d)).matches(_asked(s, d))
+    a, b = (ev.per_query_metrics(both.search(100, *p), judged) for p in ((1.2, 0.75), (0.9, 0.4)))
+    return ev.bootstrap_table(a, b, "graded_ndcg_at_10", 1000)
+
+
+def ann_grid(s, d):
+    """Mean recall of the inverted file by the number of probed cells."""
+    st = Stages(s)
+    v, c = st.keep(_vectors(s, d), "vectors"), st.keep(_centroids(s, d), "centers")
+    q = v.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    index, exact, out = st.keep(r.ivf_index(v, c), "index"), st.keep(r.dense_search(v, q, 10), "exact"), None
+    for n in (1, 4, 16, 64):
+        row = r.recall_against(r.ivf_search(index, c, q, 10, n), exact).agg(F.lit(n).alias("nprobe"), F.round(F.avg("recall"), 9).alias("recall"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _grade2(s, d):
+    return read_table(s, d, "qrels").filter("grade = 2").groupBy("question_id").agg(F.min("answer_id").alias("answer_id"), F.min("label_source").alias("label_source"), F.lit(2).alias("grade"))
+
+
+def label_sources(s, d):
+    return ds.with_label_source(_split(s, d), _grade2(s, d)).select("question_id", "split", "label_source")
+
+
+def held_out_filter(s, d):
+    return ds.drop_noisy_held_out(ds.with_label_source(_split(s, d), _grade2(s, d))).select("question_id", "split")
+
+
+def judgement_ratio(s, d):
+    return ds.judgements_per_query(_queries(s, d), _qrels(s, d))
+
+
+def negatives_summary(s, d):
+    return ev.count_summary(mined_negatives(s, d), "question_id")
+
+
+def latencies(s, d):
+    t = ev.latency_summary(read_table(s, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms")))
+    return t.select("stage", "calls", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "total")])
+
+
+def nested_sizes(s, d):
+    """The judged documents as base and all others as pool, at the sizes of half and all of the pool."""
+    c = Stages(s).keep(_corpus(s, d).select("doc_id"), "corpus")
+    base = c.join(_qrels(s, d).select("doc_id"), "doc_id", "left_semi")
+    n, have = c.count(), base.count()
+    out = None
+    for size, df in studies.nested_corpora(base, c, [have + (n - have) // 2, n, n + 1]).items():
+        part = df.select("doc_id", F.lit(size).cast("long").alias("size"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _probe(s, d):
+    return studies.probe_scores(_queries(s, d), _answers(s, d), _grade2(s, d), r.overlap_scorer)
+
+
+def probe(s, d):
+    return studies.probe_summary(_probe(s, d))
+
+
+def grouped_loss(s, d):
+    g = tr.grouped_cross_entropy(_probe(s, d).withColumnRenamed("question_id", "group"))
+    return g.select(F.round("loss", 9).alias("loss"), F.round("top_one", 9).alias("top_one"))
+
+
+def _pairs(s, d):
+    return tr.training_pairs(_split(s, d), _answers(s, d), _pairs_qrels(s, d), random_negatives(s, d), 0, 2)
+
+
+def training_batches(s, d):
+    return tr.batches(_pairs(s, d), 8).select("question_id", "answer_id", "batch")
+
+
+def pair_texts(s, d):
+    return tr.collate(_pairs(s, d).filter("answer_id is not null"), _queries(s, d).fillna("", ["text"]), _answers(s, d).fillna("", ["text"])).select("question_id", "offset", "query", "text")
+
+
+def query_texts(s, d):
+    q = read_table(s, d, "questions")
+    return q.select("question_id", tx.query_text(F.col("title"), F.col("body_html")).alias("text"), F.array_join(tx.parse_tags(F.concat(F.lit("|"), F.array_join("tags", "|"), F.lit("|"))), ",").alias("tags")).distinct()
+
+
+def shifted_ids(s, d):
+    return shift_ids(_answers(s, d).select("answer_id", "question_id"), "stats", ["answer_id", "question_id"])
 
 
 def html_text(s, d):
@@ -177,7 +262,7 @@ def infonce_loss(s, d):
 
 
 def queries() -> dict:
-    fs = (bm25_topk, dense_topk, rrf_hybrid, rerank_tail, ann_recall, metrics_per_query, metrics_mean, qrels_build, time_split, split_bounds, dup_components, dup_drop, mined_negatives, random_negatives, combined_negatives, training_pairs, text_stats, value_counts, bootstrap_compare, html_text, titles, token_counts, infonce_loss)
+    fs = (bm25_topk, dense_topk, rrf_hybrid, rerank_tail, ann_recall, metrics_per_query, metrics_mean, qrels_build, time_split, split_bounds, dup_components, dup_drop, mined_negatives, random_negatives, combined_negatives, training_pairs, text_stats, value_counts, bootstrap_compare, html_text, titles, token_counts, infonce_loss, ann_grid, label_sources, held_out_filter, judgement_ratio, negatives_summary, latencies, nested_sizes, probe, grouped_loss, training_batches, pair_texts, query_texts, shifted_ids)
     return {f.__name__: f for f in fs}
 
 
@@ -230,6 +315,42 @@ join (select doc_id, row_number() over (order by doc_id) - 1 as pos from docs) p
 join docs on docs.doc_id = c.answer_id left join rel on rel.query_id = c.question_id and rel.doc_id = c.answer_id where rel.grade is null and docs.question_id <> c.question_id) where r <= {per})"""
 
 
+_MD5 = "('0x' || substr(md5({}), 1, 8))::bigint"
+#: The usable vectors u of catalog, the first 64 as centers, every vector's cell, every question's cells by rank, exact lists.
+_CELLS = """cs as (select doc_id as cell, e, n from u order by doc_id limit 64),
+cell as (select doc_id, e, n, cell from (select u.*, cs.cell, row_number() over (partition by u.doc_id order by list_dot_product(u.e, cs.e) / u.n / cs.n desc, cs.cell) as r from u cross join cs) where r = 1),
+pr as (select u.doc_id as query_id, cs.cell, row_number() over (partition by u.doc_id order by round(list_dot_product(u.e, cs.e) / u.n / cs.n, 9) desc, cs.cell) as p from u cross join cs where u.doc_id % 50 = 0),
+sc as (select q.doc_id as query_id, d.doc_id, d.cell, round(list_dot_product(q.e, d.e) / q.n / d.n, 9) as s from u q cross join cell d where q.doc_id % 50 = 0),
+ex as (select * from (select query_id, doc_id, row_number() over (partition by query_id order by s desc, doc_id) as r from sc) where r <= 10)"""
+_GOLD = "gold as (select question_id, min(answer_id) as answer_id, min(label_source) as label_source from qrels where grade = 2 group by 1)"
+_PROBE = f"""{_GOLD},
+gq as (select gold.* from gold join qs using (question_id) where answer_id in (select doc_id from docs)),
+dr as (select question_id, answer_id, row_number() over (partition by question_id order by slot) as o from (select g.question_id, p.doc_id as answer_id, min(slot) as slot from (select question_id, unnest(range(40)) as slot from gq) g
+join (select doc_id, row_number() over (order by doc_id) - 1 as pos from docs) p on p.pos = {_MD5.format("'17:' || g.question_id || ':' || slot")} % (select count(*) from docs) group by 1, 2)),
+pa as (select question_id, answer_id, 0 as o from gq union all select question_id, answer_id, o from dr where o <= 4),
+ps as (select pa.question_id, o, list_distinct({_TOK.replace('text', 'qs.text')}) as a, list_distinct({_TOK.replace('text', 'docs.text')}) as b from pa join qs using (question_id) join docs on docs.doc_id = pa.answer_id),
+sc as (select question_id, o, round(case when len(list_distinct(list_concat(a, b))) > 0 then len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) else 0 end, 9) as s from ps)"""
+_TRAINING = f"""{_SPLIT}, {_random_sql(2, 'qs')}, ls as (select question_id, list(answer_id order by rank) as negatives from rn group by 1 having count(*) = 2),
+tp as (select rel.query_id as question_id, rel.doc_id as answer_id, negatives from rel join docs using (doc_id) join ls on ls.question_id = rel.query_id join sp on sp.question_id = rel.query_id where grade = 2 and split = 'train')"""
+
+
+def _bootstrap_sql() -> str:
+    two = ", ".join(f"{_bm25_sql(n, 100, *p)}, {_METRICS.replace('left join run', f'left join {n}').replace(' as (', f'_{n} as (')}" for n, p in (("x", (1.2, 0.75)), ("y", (0.9, 0.4))))
+    for n in "xy":
+        for t in "jmg":
+            two = two.replace(f"from {t} left join {n} ", f"from {t}_{n} left join {n} ").replace(f"select {t}.*, rank as rk from {t}_{n}", f"select {t}_{n}.*, rank as rk from {t}_{n}")
+        head, tail = two.split(f"j_{n} as (", 1)
+        part, sep, rest = tail.partition("), y_t as" if n == "x" else "\0")
+        two = head + f"j_{n} as (" + part.replace(" from m)", f" from m_{n})").replace(" from m group", f" from m_{n} group").replace(" from g)", f" from g_{n})") + sep + rest
+    draw = _MD5.format("'17:' || i || ':' || slot")
+    return f"""with {_DOCS}, {two}, pd as (select row_number() over (order by query_id) - 1 as pos, per_x.graded_ndcg_at_10 as a, per_y.graded_ndcg_at_10 as b from per_x join per_y using (query_id)),
+ms as (select i, avg(b - a) as m from (select i, unnest(range((select count(*) from pd))) as slot from range(1000) t(i)) z join pd on pd.pos = {draw} % (select count(*) from pd) group by 1),
+se as (select avg(a) as baseline_mean, avg(b) as candidate_mean, avg(b - a) as mean_difference, count(*) as queries from pd),
+ss as (select avg(m) as c, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from ms)
+select round(baseline_mean, 9) as baseline_mean, round(candidate_mean, 9) as candidate_mean, round(mean_difference, 9) + 0.0 as mean_difference, round(lo, 9) + 0.0 as ci_low, round(hi, 9) + 0.0 as ci_high,
+round((select avg((round(abs(m - c), 12) >= round(abs(mean_difference), 12))::int::double) from ms), 9) as p_value, queries, (lo > 0 or hi < 0) as significant from se cross join ss"""
+
+
 def oracle_sql() -> dict[str, str]:
     top = "select query_id, doc_id, rank, score from"
     return {
@@ -255,6 +376,28 @@ mx as (select component, max(p) as m from pp group by 1) select question_id, spl
         "combined_negatives": f"with {_DOCS}, {_bm25_sql('run', 50)}, {_MINED}, {_random_sql(3, '(select query_id as question_id from asked)')} select question_id, answer_id, rank, source from (select *, row_number() over (partition by question_id, answer_id order by rank, k) as r from (select *, 0 as k from mn union all select *, 1 from rn)) where r = 1",
         "training_pairs": f"with {_DOCS}, {_SPLIT}, {_random_sql(2, 'qs')}, ls as (select question_id, string_agg(answer_id::varchar, ',' order by rank) as negatives from rn group by 1 having count(*) = 2) select question_id, doc_id as answer_id, negatives from rel join docs using (doc_id) join ls on ls.question_id = query_id join sp on sp.question_id = query_id where grade = 2 and split = 'train'".replace("select question_id, doc_id as answer_id", "select query_id as question_id, doc_id as answer_id"),
         "text_stats": f"with {_DOCS}, c as (select length(coalesce(text, '')) as c, len(regexp_extract_all(coalesce(text, ''), '[^\\s\\pZ]+')) as w from docs) select count(*) as count, floor(quantile_cont(c, 0.5))::int as chars_p50, floor(quantile_cont(c, 0.9))::int as chars_p90, floor(quantile_cont(w, 0.5))::int as words_p50, floor(quantile_cont(w, 0.9))::int as words_p90 from c",
+        "ann_recall": f"""with {_VEC}, {_CELLS}, ap as (select * from (select sc.query_id, sc.doc_id, row_number() over (partition by sc.query_id order by s desc, doc_id) as r from sc join pr on pr.query_id = sc.query_id and pr.cell = sc.cell where p <= 16) where r <= 10)
+select ex.query_id, count(ap.doc_id) / count(*) as recall from ex left join ap on ap.query_id = ex.query_id and ap.doc_id = ex.doc_id group by 1""",
+        "ann_grid": f"""with {_VEC}, {_CELLS}, np as (select unnest([1, 4, 16, 64]) as nprobe),
+ap as (select * from (select nprobe, sc.query_id, sc.doc_id, row_number() over (partition by nprobe, sc.query_id order by s desc, doc_id) as r from sc join pr on pr.query_id = sc.query_id and pr.cell = sc.cell join np on p <= nprobe) where r <= 10),
+rc as (select np.nprobe, ex.query_id, count(ap.doc_id) / count(*) as recall from np cross join ex left join ap on ap.nprobe = np.nprobe and ap.query_id = ex.query_id and ap.doc_id = ex.doc_id group by 1, 2)
+select nprobe, round(avg(recall), 9) as recall from rc group by 1""",
+        "bootstrap_compare": _bootstrap_sql(),
+        "label_sources": f"with {_DOCS}, {_SPLIT}, {_GOLD} select sp.question_id, split, gold.label_source from sp left join gold using (question_id)",
+        "held_out_filter": f"with {_DOCS}, {_SPLIT}, {_GOLD} select sp.question_id, split from sp left join gold using (question_id) where not (split in ('val', 'test') and coalesce(gold.label_source, '') = 'top_voted')",
+        "judgement_ratio": f"with {_DOCS} select (select count(*) from rel) as judgements, (select count(*) from qs) as queries, round_even((select count(*) from rel) / (select count(*) from qs), 2) as ratio",
+        "negatives_summary": f"with {_DOCS}, {_bm25_sql('run', 50)}, {_MINED}, c as (select question_id, count(*) as c from mn group by 1) select sum(c)::bigint as rows, count(*) as groups, min(c) as least, floor(quantile_cont(c, 0.5))::bigint as median, max(c) as most from c",
+        "latencies": "select event_type as stage, count(*) as calls, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(sum(value), 6) as total from events group by 1",
+        "nested_sizes": f"""with {_DOCS}, jd as (select doc_id from docs where doc_id in (select doc_id from rel)), po as (select doc_id, row_number() over (order by md5('17:' || doc_id), doc_id) - 1 as pos from docs where doc_id not in (select doc_id from jd)),
+z as (select unnest([(select count(*) from jd) + (select count(*) from po) // 2, (select count(*) from docs)]) as size) select distinct * from (select doc_id, size from jd cross join z union all select doc_id, size from po join z on pos < size - (select count(*) from jd))""",
+        "probe": f"""with {_DOCS}, {_PROBE}, e as (select question_id, max(case when o = 0 then s end) as own, max(case when o > 0 then s end) as best from sc group by 1)
+select count(*) as questions, round(avg((own >= best)::int::double), 4) as top_one_accuracy, 0.2::double as chance, round(quantile_cont(own - best, 0.5), 4) as median_margin from e""",
+        "grouped_loss": f"""with {_DOCS}, {_PROBE}, e as (select question_id, max(case when o = 0 then s end) as own, max(s) as top, sum(exp(s)) as z from sc group by 1) select round(avg(ln(z) - own), 9) as loss, round(avg((own >= top)::int::double), 9) as top_one from e""",
+        "training_batches": f"with {_DOCS}, {_TRAINING}, o as (select question_id, answer_id, row_number() over (order by md5('17:' || question_id || ':' || answer_id), question_id, answer_id) - 1 as p from tp) select question_id, answer_id, p // 8 as batch from o where p // 8 < (select count(*) from tp) // 8",
+        "pair_texts": f"""with {_DOCS}, {_TRAINING}, c as (select question_id, 0 as o, answer_id from tp union all select question_id, unnest(range(1, 3)), unnest(negatives) from tp)
+select c.question_id, o::int as "offset", coalesce(qs.text, '') as query, coalesce(docs.text, '') as text from c join qs using (question_id) join docs on docs.doc_id = c.answer_id""",
+        "query_texts": "select distinct question_id, case when coalesce(body_html, '') = '' then trim(coalesce(title, ''), ' ') else trim(coalesce(title, ''), ' ') || chr(10) || chr(10) || body_html end as text, array_to_string(tags, ',') as tags from questions",
+        "shifted_ids": f"with {_DOCS} select doc_id + {id_offset('stats')} as answer_id, question_id + {id_offset('stats')} as question_id from docs",
         "value_counts": "select label_source, grade, count(*) as n from qrels group by 1, 2",
         "titles": "select distinct question_id, trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')) as title from questions",
         "token_counts": f"with {_DOCS} select doc_id, len({_TOK}) as tokens from docs",

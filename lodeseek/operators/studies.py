@@ -19,7 +19,7 @@ def nested_corpora(base: DataFrame, pool: DataFrame, sizes: list[int], key: str
     left out of the result."""
     have = base.count()
     extra = pool.dropDuplicates([key]).join(base.select(key), key, "left_anti")
-    extra = numbered(extra.withColumn("_h", F.xxhash64(key, F.lit(seed))), "_h", key).drop("_h")
+    extra = numbered(extra.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))), "_h", key).drop("_h")
     most = have + extra.count()
     return {n: base.unionByName(extra.filter(F.col("_pos") < n - have).select(*base.columns)) for n in sorted(set(sizes)) if have <= n <= most}
 

@@ -91,7 +91,7 @@ def candidates(pairs: DataFrame) -> DataFrame:
 
 def batches(pairs: DataFrame, size: int, seed: int = 17) -> DataFrame:
     """Adds batch: full batches of a seeded shuffle; the rest is left out, fewer than one batch is an error."""
-    order = numbered(pairs.withColumn("_h", F.xxhash64("question_id", "answer_id", F.lit(seed))), "_h", "question_id", "answer_id")
+    order = numbered(pairs.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("question_id").cast("string"), F.col("answer_id").cast("string")))), "_h", "question_id", "answer_id")
     n = order.count()
     if n < size:
         raise ValueError("fewer pairs than one batch")
