@@ -112,17 +112,21 @@ def hot_cold_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner
     return left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how).unionByName(left.filter(~is_hot).join(right.filter(~is_hot), key, how))
 
 
-def block_join(left: DataFrame, right: DataFrame, key: str, size: int = 4096) -> DataFrame:
+def block_join(left: DataFrame, right: DataFrame, key: str, size: int = 4096, sample: int = 64) -> DataFrame:
     """The inner join on a key that both sides may repeat. Keys with more than `size` rows of a side, or 1/SHARES of a fair
     partition if that is more, are cut into blocks by hash, and every pair of blocks is a join key of its own: no task
-    gets a whole hot key. At most 2 x SHARES x partitions keys are that large, so their table can be broadcast."""
+    gets a whole hot key. Keys are counted in a 1/sample part of the rows (a key that it should miss is joined whole: the
+    result is right at any rate). At most SHARES x partitions keys are that large, so their table can be broadcast."""
     spark = left.sparkSession
-    both = left.select(key, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(key, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
-    counts = both.groupBy(key).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).filter((F.col("_l") > 0) & (F.col("_r") > 0))
-    total = counts.agg(F.sum(F.col("_l") + F.col("_r"))).first()[0] or 0
-    size = max(size, total // (SHARES * parts(spark)))
-    large = counts.filter((F.greatest("_l", "_r") > size) & F.col(key).isNotNull()).select(key, F.ceil(F.col("_l") / size).alias("_bl"), F.ceil(F.col("_r") / size).alias("_br"))
-    rows = large.collect()  # at most 2 x SHARES x partitions
+    sides = [(df.select(key), left_n, right_n) for df, left_n, right_n in ((left, 1, 0), (right, 0, 1))]
+    if sample > 1:
+        sides = [(df.filter(F.rand(7) < 1 / sample), x, y) for df, x, y in sides]
+    one, two = (df.select(key, F.lit(x * sample).alias("_l"), F.lit(y * sample).alias("_r")) for df, x, y in sides)
+    counts = one.unionByName(two).groupBy(key).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    size = F.greatest(F.lit(size // 2 if sample > 1 else size), F.col("_t") / F.lit(SHARES * parts(spark)))
+    large = counts.crossJoin(F.broadcast(counts.agg(F.sum(F.col("_l") + F.col("_r")).alias("_t")))).filter((F.greatest("_l", "_r") > size) & F.col(key).isNotNull())  # one row
+    large = large.select(key, F.greatest(F.lit(1), F.ceil(F.col("_l") / size)).alias("_bl"), F.greatest(F.lit(1), F.ceil(F.col("_r") / size)).alias("_br"))
+    rows = large.collect()  # at most SHARES x partitions
     if not rows:
         return left.join(right, key)
     large = F.broadcast(spark.createDataFrame(rows, large.schema))

@@ -170,7 +170,8 @@ def test_hot_cold_join(spark):
         assert sorted(hot_cold_join(left, right, "k", how, 100).collect(), key=str) == sorted(left.join(right, "k", how).collect(), key=str)
 
 
-def test_block_join(spark):
+@pytest.mark.parametrize("sample", [1, 4])
+def test_block_join(spark, sample):
     left = spark.range(900).selectExpr("if(id < 600, 1, id % 7) as k", "id as v").unionByName(spark.sql("select cast(null as long) as k, 5L as v"))
     right = spark.range(500).selectExpr("if(id < 300, 1, id % 11) as k", "id as w").unionByName(spark.sql("select cast(null as long) as k, 6L as w"))
-    assert sorted(block_join(left, right, "k", 20).collect()) == sorted(left.join(right, "k").collect())
+    assert sorted(block_join(left, right, "k", 20, sample).collect()) == sorted(left.join(right, "k").collect())
