@@ -41,7 +41,7 @@ def p3_found(s, d):
 
 
 def p3_counts(s, d):
-    return overlap.counts(overlap.split_overlaps(_t(s, d, "queries")))
+    return overlap.overlap_counts(_t(s, d, "queries"))
 
 
 def p4_found(s, d):
@@ -117,6 +117,11 @@ s as (select distinct question_id as id, {_SPLIT} as sp, nullif(trim(regexp_repl
 p as (select x.id as a, y.id as b from s x join s y on x.t = y.t and x.id < y.id union select a, b from near)
 select distinct a as question_id_a, b as question_id_b from p join (select distinct id, sp from s) u on u.id = a join (select distinct id, sp from s) v on v.id = b
 where (u.sp = 'train' and v.sp in ('val', 'test')) or (v.sp = 'train' and u.sp in ('val', 'test'))""",
+        "p3_counts": f"""with {_near("queries", "question_id")},
+s as (select distinct question_id as id, {_SPLIT} as sp, label_source, nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '') as t from queries),
+u as (select x.id as e, y.id as t from s x join s y on x.t = y.t and x.id <> y.id union select a, b from near union select b, a from near),
+p as (select distinct e, u.t, x.sp, x.label_source from u join s x on x.id = e and x.sp in ('val', 'test') join s y on y.id = u.t and y.sp = 'train')
+select sp as eval_split, label_source, count(distinct e) as records, count(*) as pairs from p group by 1, 2""",
         "p4_found": """with v as (select answer_id, any_value(embedding::double[]) as e from answer_vectors where len(embedding) = 64 and answer_id is not null
 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1),
 c as (select x.answer_id, y.answer_id as neighbour_id, row_number() over (partition by x.answer_id order by

@@ -101,6 +101,19 @@ def fingerprints(width: int, least: int, bands: int, rows: int):
     return run
 
 
+def codes_of(width: int, least: int):
+    """mapInPandas function: (id, text_key, text) to (id, text_key, code) of texts with at least `least` words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            docs = [words(t) for t in pdf["text"]]
+            ok = np.array([len(d) >= max(least, width) for d in docs], bool)
+            code = np.array([xxhash.xxh3_64_intdigest(b" ".join(d)) for d, k in zip(docs, ok) if k], _U).view(np.int64)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[ok], "text_key": pdf["text_key"].to_numpy()[ok], "code": code})
+
+    return run
+
+
 def shingle_sets(width: int):
     """mapInPandas function: (id, text) to (id, items), the distinct shingle hashes of the text."""
 

@@ -103,7 +103,7 @@ def test_near_duplicates_in_hot_bands(spark, monkeypatch, hot, dense, stars):
     """Every band hot or not, further stars or all pairs at once: the same groups as by brute force."""
     for name, value in (("SAMPLE", 1), ("HOT", hot), ("DENSE", dense), ("STARS", stars)):
         monkeypatch.setattr(neardup, name, value)
-    monkeypatch.setattr(neardup, "block_join", lambda x, y, k: block_join(x, y, k, 3))
+    monkeypatch.setattr(neardup, "block_join", lambda x, y, k: block_join(x, y, k, 3, 1))
     r = random.Random(31)
     common = [f"c{i}" for i in range(30)]
     texts = _texts(33, 4, 5)
@@ -122,8 +122,23 @@ def test_overlaps(spark):
     df = spark.createDataFrame([(*r, "src") for r in rows], "question_id long, title string, text string, split string, label_source string")
     o = overlap.split_overlaps(df)
     assert sorted(map(tuple, overlap.found(o).collect())) == [(1, 2), (3, 4), (7, 8)]
-    assert {(x[0], x[1]): (x[2], x[3]) for x in overlap.counts(o).collect()} == {("val", "src"): (1, 1), ("test", "src"): (2, 2)}
-    assert overlap.split_overlaps(df.filter("false")).count() == 0
+    assert {(x[0], x[1]): (x[2], x[3]) for x in overlap.overlap_counts(df).collect()} == {("val", "src"): (1, 1), ("test", "src"): (2, 2)}
+    assert overlap.split_overlaps(df.filter("false")).count() == 0 and overlap.overlap_counts(df.filter("false")).count() == 0
+
+
+def test_overlap_counts(spark):
+    """Classes of copies, titles and texts that match together or alone, sources, an id in two splits: as by expanded pairs."""
+    r = random.Random(8)
+    texts = _texts(17, 5, 3) + [None, "short"]
+    rows = {(r.randrange(150), r.choice(["A", "b!", "c", None]) if k % 3 else f"t{k % 9}", r.choice(texts), r.choice(["train", "val", "test", None]), r.choice(["x", "y", None])) for k in range(160)}
+    once = {}
+    for row in sorted(rows, key=str):
+        first = next((v for k, v in once.items() if k[0] == row[0]), row)
+        if first is row or row[0] < 60:  # ids below 60 may lie in several splits
+            once[row[0], row[3]] = (row[0], first[1], first[2], row[3], first[4])
+    df = spark.createDataFrame(list(once.values()), "question_id long, title string, text string, split string, label_source string")
+    pairs = overlap.split_overlaps(df).groupBy("eval_split", "label_source").agg(F.countDistinct("eval_id"), F.countDistinct("eval_id", "train_id"))
+    assert sorted(map(tuple, overlap.overlap_counts(df).collect()), key=str) == sorted(map(tuple, pairs.collect()), key=str)
 
 
 def test_neighbours(spark):
