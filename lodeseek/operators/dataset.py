@@ -69,13 +69,17 @@ def components(edges: DataFrame) -> DataFrame:
     st = Stages(edges.sparkSession)
     e = st.keep(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     lab = st.keep(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")), "l0")
-    r = 0
+    # no key has more rows than there are members: up to 100,000 none is hot
+    few, r = lab.count() <= 100_000, 0
     while True:
-        low = hot_cold_join(e, lab.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        new = st.keep(lab.join(low, "a").select("a", F.least("c", "m").alias("n"), F.col("c").alias("old")), f"n{r}")
+        near = lab.select(F.col("a").alias("b"), "c")
+        low = (e.join(near, "b") if few else hot_cold_join(e, near, "b")).groupBy("a").agg(F.min("c").alias("m"))
+        new = lab.join(low, "a").select("a", F.least("c", "m").alias("n"), F.col("c").alias("old"))
+        jump = lab.select(F.col("a").alias("n"), F.col("c").alias("j"))
         r += 1
-        both = st.keep(hot_cold_join(new, lab.select(F.col("a").alias("n"), F.col("c").alias("j")), "n").select("a", F.least("n", "j").alias("c"), "old"), f"l{r}")
-        st.drop(f"l{r - 1}", f"n{r - 1}")
+        new = new.join(jump, "n") if few else hot_cold_join(st.keep(new, f"n{r}"), jump, "n")
+        both = st.keep(new.select("a", F.least("n", "j").alias("c"), "old"), f"l{r}")
+        st.drop(f"l{r - 1}", *([] if few else [f"n{r}"]))
         done = both.filter("c <> old").isEmpty()
         lab = both.select("a", "c")
         if done:

@@ -61,6 +61,32 @@ def test_bm25(spark):
         r.bm25(c, q, 10, 1, 2)
 
 
+@pytest.mark.parametrize("held, turn", [(250_000, 64 << 20), (250_000, 600), (0, 64 << 20)])
+def test_bm25_ways(spark, monkeypatch, held, turn):
+    """Terms held by the tasks, in one turn or several, and terms joined with the postings give the same run."""
+    monkeypatch.setattr(r, "BROADCAST_TERMS", held)
+    monkeypatch.setattr(r, "BLOCK_BYTES", turn)
+    g = np.random.default_rng(6)
+    text = lambda n: " ".join(f"w{x}" for x in np.minimum(g.zipf(1.5, n), 60))
+    docs = [(i, text(g.integers(0, 40))) for i in range(200)] + [(500, None), (501, "")]
+    asked = [(i, text(6)) for i in range(12)] + [(90, "unknown"), (91, None), (92, "")]
+    got = r.bm25(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string"), 7).collect()
+    tokens = {i: (t or "").split() for i, t in docs}
+    mean, want = np.mean([len(t) for t in tokens.values()]), set()
+    df = {}
+    for t in tokens.values():
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    for q, t in asked:
+        scores = {}
+        for i, d in tokens.items():
+            for w in set((t or "").split()) & set(d):
+                f = d.count(w)
+                scores[i] = scores.get(i, 0) + math.log(1 + (202 - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        want |= {(q, i, k + 1) for k, i in enumerate(sorted(scores, key=lambda i: (-round(scores[i], 9), i))[:7])}
+    assert {(x["query_id"], x["doc_id"], x["rank"]) for x in got} == want
+
+
 def test_dense_and_ivf(spark):
     c = spark.createDataFrame([(30, [1.0, 0.0]), (10, [0.0, 1.0]), (20, [0.8, 0.6]), (40, [0.0, 0.0])], "doc_id long, embedding array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
