@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lodeseek.llm.tokens import DEFAULT, token_counts
 from lodeseek.plans.stages import Stages
 
-#: Seeds tried; of each source the one counts whose draw comes nearest to the target.
-DRAWS = 64
+#: Seeds tried with each of FACTORS x the rate; of each source the draw counts that comes nearest to the target. Where a few
+#: long documents hold most tokens, draws at the mean's rate mostly lack them and fall short, which a larger rate makes up for.
+DRAWS, FACTORS = 20, tuple(2 ** (k / 6) for k in range(-3, 7))
 
 
 def distribution(rate: float, top: int) -> list[float]:
@@ -42,9 +43,9 @@ def rate_for(mean: float, top: int) -> float:
 
 def uses(draw: Column) -> Column:
     """How often a document is used: its uniform number, a hash of its id and the draw, inverted through its source's
-    distribution. JVM-side; needs doc_id, cdf, whole, max_repeats."""
+    distribution. JVM-side; needs doc_id, cdf, full, max_repeats."""
     u = (F.pmod(F.xxhash64("doc_id", draw), F.lit(2**52)) + F.lit(0.5)) / F.lit(float(2**52))
-    return F.when(F.col("whole"), F.col("max_repeats")).otherwise(F.size(F.filter("cdf", lambda p: u > p)))
+    return F.when(F.col("full"), F.col("max_repeats")).otherwise(F.size(F.filter("cdf", lambda p: u > p)))
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = DEFAULT, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -52,9 +53,10 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     shares: source, target_share, actual_share, documents, copies, tokens, available_tokens, max_repeats.
 
     A document's uniform number is a hash of its id and a seed; inverted through the Poisson distribution, cut at
-    max_repeats, it says how often the document is used. A source's rate is the one at which the mean of uses times its
-    tokens is its target, so a document's chance does not depend on its length. Of DRAWS seeds each source takes the one
-    whose draw has the tokens nearest to the target. Uses are counted before documents are repeated. The target total is
+    max_repeats, it says how often the document is used. A source's rate is one for all its documents, near the one at which
+    the mean of uses times its tokens is its target, so a document's chance does not depend on its length. Of DRAWS seeds
+    and FACTORS of that rate each source takes the draw that has the tokens nearest to the target. Uses are counted
+    before documents are repeated. The target total is
     total_tokens or, by default, the most at which every source with documents can meet its weight within max_repeats.
     With a larger total, sources at their cap use each document max_repeats times and fall short, which the shares show.
     Sources without documents or weight contribute nothing and the weights of the others are rescaled. Documents with null
@@ -76,14 +78,17 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     for r in have:
         want, top = total * r["target_weight"] / weight, int(r["max_repeats"])
         whole = want >= r["available"] * top * (1 - 1e-12)
-        cdf = [] if whole else distribution(rate_for(want / r["available"], top), top)
-        plan.append((r["source"], float(want), whole, cdf, top, r["target_weight"] / weight, int(r["available"])))
-    plan = st.keep(spark.createDataFrame(plan, "source string, want double, whole boolean, cdf array<double>, max_repeats int, target_share double, available_tokens long"), "plan")
+        rate = 0.0 if whole else rate_for(want / r["available"], top)
+        cdfs = [] if whole else [distribution(rate * f, top) for f in FACTORS]
+        plan.append((r["source"], float(want), whole, cdfs, top, r["target_weight"] / weight, int(r["available"])))
+    plan = st.keep(spark.createDataFrame(plan, "source string, want double, full boolean, cdfs array<array<double>>, max_repeats int, target_share double, available_tokens long"), "plan")
     sized = d.join(small(plan), "source")
-    tried = sized.filter("not whole").select("source", "want", "n_tokens", "doc_id", "cdf", "whole", "max_repeats", F.explode(F.sequence(F.lit(seed), F.lit(seed + DRAWS - 1))).alias("draw"))
-    tokens = tried.groupBy("source", "want", "draw").agg(F.sum(F.col("n_tokens") * uses(F.col("draw"))).alias("n"))
-    nearest = tokens.groupBy("source").agg(F.min(F.struct(F.abs(F.col("n") - F.col("want")).alias("off"), "draw")).alias("m")).select("source", F.col("m.draw").alias("draw"))
-    plan = st.keep(plan.join(nearest, "source", "left").fillna(seed, ["draw"]), "drawn")
+    tried = sized.filter("not full").select("source", "want", "n_tokens", "doc_id", "full", "max_repeats", F.posexplode("cdfs").alias("factor", "cdf"))
+    tried = tried.withColumn("draw", F.explode(F.sequence(F.lit(seed), F.lit(seed + DRAWS - 1))))
+    tokens = tried.groupBy("source", "want", "factor", "draw").agg(F.sum(F.col("n_tokens") * uses(F.col("draw"))).alias("n"))
+    nearest = tokens.groupBy("source").agg(F.min(F.struct(F.abs(F.col("n") - F.col("want")).alias("off"), "draw", "factor")).alias("m")).select("source", F.col("m.draw").alias("draw"), F.col("m.factor").alias("factor"))
+    plan = plan.join(nearest, "source", "left").fillna(seed, ["draw"]).withColumn("cdf", F.coalesce(F.get("cdfs", F.col("factor")), F.array().cast("array<double>"))).drop("cdfs", "factor")
+    plan = st.keep(plan, "drawn")
     chosen = d.join(small(plan), "source").withColumn("uses", uses(F.col("draw"))).filter("uses > 0").select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("copy"))
     chosen = chosen.withColumn("position_key", F.xxhash64("doc_id", "copy", F.lit(seed - 1)))
     chosen = st.keep(chosen.select("doc_id", "source", "copy", "n_tokens", "position_key").repartitionByRange("position_key").sortWithinPartitions("position_key", "doc_id", "copy"), "chosen")
