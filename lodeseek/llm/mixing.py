@@ -97,3 +97,15 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     shares = plan.select("source", "target_share", "available_tokens", "max_repeats").join(got, "source", "left").fillna(0, ["documents", "copies", "tokens"])
     ratio = F.col("tokens") / F.lit(float(all_tokens)) if all_tokens else F.lit(0.0)
     return chosen, shares.withColumn("actual_share", ratio)
+
+
+def mixing_checks(rows: DataFrame, shares: DataFrame, most: float = 0.01) -> DataFrame:
+    """(name, n): what must hold of a mixture whose total every source can meet, counted."""
+    used = rows.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("used"), F.max("copy").alias("last"))
+    used = used.join(F.broadcast(shares.select("source", "max_repeats")) if shares.limit(100_001).count() <= 100_000 else shares.select("source", "max_repeats"), "source", "left")
+    parts = {"sources": shares, "documents used too often": used.filter("max_repeats is null or used > max_repeats"), "documents with copies numbered wrongly": used.filter("used <> last"), "sources off their share": shares.filter(F.abs(F.col("actual_share") - F.col("target_share")) > most)}
+    out = None
+    for name, d in parts.items():
+        row = d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -230,3 +230,26 @@ def filling(packed: DataFrame, containers: DataFrame) -> DataFrame:
     one = packed.groupBy("container_name", "container_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("used_tokens"))
     c = F.broadcast(containers.filter("capacity_tokens > 0").select("container_name", "capacity_tokens").distinct())
     return one.join(c, "container_name").withColumn("unused_tokens", F.col("capacity_tokens") - F.col("used_tokens"))
+
+
+def packing_checks(packed: DataFrame, containers: DataFrame, least: float = 0.98) -> DataFrame:
+    """(name, n): what must hold of a packing, counted."""
+    st = Stages(packed.sparkSession)
+    packed = st.keep(packed, "packed")
+    boxes = filling(packed, containers)
+    caps = F.broadcast(containers.filter("capacity_tokens > 0").select("container_name", "capacity_tokens").distinct())
+    each = packed.groupBy("container_name", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end")).join(caps, "container_name")
+    kinds = boxes.groupBy("container_name").agg((F.sum("used_tokens") / F.sum("capacity_tokens")).alias("fill"))
+    parts = {
+        "documents": each.select("doc_id").distinct(),
+        "containers over their capacity": boxes.filter("unused_tokens < 0"),
+        "documents divided though they fit": each.filter("pieces > 1 and tokens <= capacity_tokens"),
+        "documents in more pieces than needed": each.filter(F.col("pieces") > F.ceil(F.col("tokens") / F.col("capacity_tokens"))),
+        "documents with tokens lost or doubled": each.groupBy("doc_id").agg(F.count_distinct("tokens").alias("sums"), F.count(F.lit(1)).alias("kinds"), F.max(F.abs(F.col("tokens") - F.col("end"))).alias("gap")).crossJoin(F.broadcast(caps.agg(F.count_distinct("container_name").alias("all")))).filter("sums > 1 or kinds < all or gap > 0"),  # one row
+        "kinds filled less": kinds.filter(F.col("fill") < least),
+    }
+    out = None
+    for name, d in parts.items():
+        row = d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -68,6 +68,10 @@ def p7_filling(s, d):
     return packing.filling(p7_containers(s, d), _t(s, d, "container_sizes"))
 
 
+def p7_checks(s, d):
+    return packing.packing_checks(p7_containers(s, d), _t(s, d, "container_sizes"))
+
+
 def p8_mix(s, d):
     return mixing.mix(_t(s, d, "documents"), _t(s, d, "mix_targets"))[0]
 
@@ -76,12 +80,16 @@ def p8_shares(s, d):
     return mixing.mix(_t(s, d, "documents"), _t(s, d, "mix_targets"))[1]
 
 
+def p8_checks(s, d):
+    return mixing.mixing_checks(*mixing.mix(_t(s, d, "documents"), _t(s, d, "mix_targets")))
+
+
 def p9_found(s, d):
     return residue.template_residue(_t(s, d, "documents"))
 
 
 def queries() -> dict:
-    fs = (p1_found, p1_split, p1_shares, p1_labels, p1_checks, p2_found, p3_found, p3_counts, p4_found, p5_found, p6_found, p7_containers, p7_filling, p8_mix, p8_shares, p9_found)
+    fs = (p1_found, p1_split, p1_shares, p1_labels, p1_checks, p2_found, p3_found, p3_counts, p4_found, p5_found, p6_found, p7_containers, p7_filling, p7_checks, p8_mix, p8_shares, p8_checks, p9_found)
     return {f.__name__: f for f in fs}
 
 
@@ -129,6 +137,10 @@ round(list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e)) / sqrt(list_
 select answer_id, neighbour_id from c where r <= 10""",
         "p5_found": """with b as (select retriever, query_id, document_id, max(score) as s from search_results where score is not null and not isnan(score) and document_id is not null group by 1, 2, 3)
 select retriever, query_id, document_id from (select *, row_number() over (partition by retriever, query_id order by s desc, document_id) as r from b) where r <= 10""",
+        "p7_checks": """select 'documents' as name, count(distinct doc_id) as n from documents where text <> '' union all
+select unnest(['containers over their capacity', 'documents divided though they fit', 'documents in more pieces than needed', 'documents with tokens lost or doubled', 'kinds filled less']), 0""",
+        "p8_checks": """select 'sources' as name, count(distinct source) as n from documents join mix_targets using (source) where text <> '' and doc_id is not null and target_weight > 0 and max_repeats > 0 union all
+select unnest(['documents used too often', 'documents with copies numbered wrongly', 'sources off their share']), 0""",
         "p6_found": " union all ".join(
             f"select * from (with recursive {_near(t, k)}, {_groups('near')} select '{t}' as table_name, min(root) as group_id, x as record_id from reach group by x)" for t, k in (("corpus", "answer_id"), ("queries", "question_id"))
         ),
