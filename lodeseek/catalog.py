@@ -383,6 +383,10 @@ ap as (select * from (select nprobe, sc.query_id, sc.doc_id, row_number() over (
 rc as (select np.nprobe, ex.query_id, count(ap.doc_id) / count(*) as recall from np cross join ex left join ap on ap.nprobe = np.nprobe and ap.query_id = ex.query_id and ap.doc_id = ex.doc_id group by 1, 2)
 select nprobe, round(avg(recall), 9) as recall from rc group by 1""",
         "bootstrap_compare": _bootstrap_sql(),
+        "html_text": r"""with a as (select question_id, regexp_replace(coalesce(body_html, ''), '<pre><code>\s*(.*?)\s*</code></pre>', chr(10) || '```' || chr(10) || '\1' || chr(10) || '```' || chr(10), 'gs') as t from questions),
+b as (select question_id, replace(replace(replace(replace(replace(replace(replace(t, '<p>', chr(10)), '</p>', chr(10)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') as t from a),
+c as (select question_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+\n', chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') as t from b)
+select distinct question_id, trim(t, ' ' || chr(9) || chr(10) || chr(13)) as text from c""",
         "label_sources": f"with {_DOCS}, {_SPLIT}, {_GOLD} select sp.question_id, split, gold.label_source from sp left join gold using (question_id)",
         "held_out_filter": f"with {_DOCS}, {_SPLIT}, {_GOLD} select sp.question_id, split from sp left join gold using (question_id) where not (split in ('val', 'test') and coalesce(gold.label_source, '') = 'top_voted')",
         "judgement_ratio": f"with {_DOCS} select (select count(*) from rel) as judgements, (select count(*) from qs) as queries, round_even((select count(*) from rel) / (select count(*) from qs), 2) as ratio",
