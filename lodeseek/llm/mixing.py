@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm.tokens import DEFAULT, token_counts
-from lodeseek.plans.stages import Stages
+from lodeseek.plans.stages import Stages, parts
 
 #: Seeds tried with each of FACTORS x the rate; of each source the draw counts that comes nearest to the target. Where a few
 #: long documents hold most tokens, draws at the mean's rate mostly lack them and fall short, which a larger rate makes up for.
@@ -82,7 +82,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
         cdfs = [] if whole else [distribution(rate * f, top) for f in FACTORS]
         plan.append((r["source"], float(want), whole, cdfs, top, r["target_weight"] / weight, int(r["available"])))
     plan = st.keep(spark.createDataFrame(plan, "source string, want double, full boolean, cdfs array<array<double>>, max_repeats int, target_share double, available_tokens long"), "plan")
-    sized = d.join(small(plan), "source")
+    # sized rows are few bytes, trying them is work: spread over all tasks
+    sized = d.repartition(parts(spark), "doc_id").join(small(plan), "source")
     tried = sized.filter("not full").select("source", "want", "n_tokens", "doc_id", "full", "max_repeats", F.posexplode("cdfs").alias("factor", "cdf"))
     tried = tried.withColumn("draw", F.explode(F.sequence(F.lit(seed), F.lit(seed + DRAWS - 1))))
     tokens = tried.groupBy("source", "want", "factor", "draw").agg(F.sum(F.col("n_tokens") * uses(F.col("draw"))).alias("n"))
