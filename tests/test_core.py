@@ -1,3 +1,4 @@
+# The literals of small inputs and their results, as published for these functions.
 import math
 
 import numpy as np
