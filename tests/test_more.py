@@ -196,3 +196,27 @@ def test_evaluation_errors(spark):
         records.scores_of({"run_name": "x"}, "m")
     with pytest.raises(ValueError):
         records.scores_of({"run_name": "x", "per_query": {"1": {"n": 1.0}}}, "m")
+
+
+@pytest.mark.parametrize("block", [64 << 20, 400])
+def test_cells_are_searched_without_a_join(spark, monkeypatch, block):
+    """Documents of the probed cells meet all their queries in tasks, in one turn or several; no pair is a row of a join."""
+    monkeypatch.setattr(r, "BLOCK_BYTES", block)
+    g = np.random.default_rng(3)
+    x = np.round(g.normal(size=(400, 4)), 1)
+    x[200:250] = x[:50]  # ties
+    s = "doc_id long, embedding array<double>"
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], s)
+    centers = spark.createDataFrame([(i + 70, v.tolist()) for i, v in enumerate(x[:9])], "cell long, center array<double>")
+    asked = docs.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    run = r.ivf_search(r.ivf_index(docs, centers), centers, asked, 7, 3)
+    assert "Join" not in run._jdf.queryExecution().toString()
+    u = r.unit(x)
+    near = np.round(u @ u[:9].T, 9)
+    cell, want = (u @ u[:9].T).argmax(1), set()
+    for q in range(0, 400, 20):
+        probed = sorted(range(9), key=lambda c: (-near[q, c], c))[:3]
+        score = np.round(u[q] @ u.T, 9)
+        found = sorted((i for i in range(400) if cell[i] in probed), key=lambda i: (-score[i], i))[:7]
+        want |= {(q, i, k + 1) for k, i in enumerate(found)}
+    assert {(y["query_id"], y["doc_id"], y["rank"]) for y in run.collect()} == want
