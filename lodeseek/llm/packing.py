@@ -17,6 +17,8 @@ from lodeseek.plans.stages import Stages
 K1, B = 1.2, 0.75
 #: Items in a shard, each with its own index.
 SHARD = 3000
+#: A term of 1/COMMON of a shard's items or more is a row of a matrix.
+COMMON = 8
 
 
 def items_of(capacities: list[int], path: str):
@@ -89,39 +91,56 @@ def statistics(items: DataFrame) -> Statistics:
 
 
 class Index:
-    """BM25 weights of the items in order of size, so that the items that fit a room are a prefix of it."""
+    """BM25 weights of the items in order of size, so that the items that fit a room are a prefix of it. Postings go by
+    term, so a seed reads those of its own terms only: a row of a matrix for a term of many items (1/COMMON of all or
+    more), else a list of rows."""
 
     def __init__(self, sizes: np.ndarray, terms: list[np.ndarray], tfs: list[np.ndarray], stats: Statistics):
-        self.items = np.lexsort((np.arange(len(sizes)), sizes))
+        n = len(sizes)
+        self.items = np.lexsort((np.arange(n), sizes))
         self.sizes = sizes[self.items]
-        lens = np.array([len(terms[i]) for i in self.items], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(lens)])
-        vocab, self.term = np.unique(np.concatenate([terms[i] for i in self.items]), return_inverse=True)
-        self.row = np.repeat(np.arange(len(sizes)), lens)
-        whole = stats.by_term[vocab]
+        row = np.repeat(np.arange(n), [len(terms[i]) for i in self.items])
+        self.vocab, term, times = np.unique(np.concatenate([terms[i] for i in self.items]), return_inverse=True, return_counts=True)
+        whole = stats.by_term[self.vocab]
         idf = np.log(1 + (stats.items - whole + 0.5) / (whole + 0.5))
         norm = K1 * (1 - B + B * np.maximum(self.sizes, 1) / stats.mean)
         freq = np.concatenate([tfs[i] for i in self.items]).astype(np.float64)
-        self.weight = idf[self.term] * freq * (K1 + 1) / (freq + norm[self.row])
-        self.asked = np.zeros(len(vocab))
-        self.vocab = vocab
+        weight = idf[term] * freq * (K1 + 1) / (freq + norm[row])
+        common = times * COMMON >= n
+        self.place = np.where(common, np.cumsum(common) - 1, -1)
+        self.matrix = np.zeros((int(common.sum()), n))
+        on = common[term]
+        self.matrix[self.place[term[on]], row[on]] = weight[on]
+        term, row, weight = term[~on], row[~on], weight[~on]
+        order = np.argsort(term * n + row)
+        self.term, self.row, self.weight = term[order], row[order], weight[order]
+        self._key()
+
+    def _key(self) -> None:
+        self.key = self.term * len(self.items) + self.row
+        self.first = np.searchsorted(self.term, np.arange(len(self.vocab)))
 
     def keep(self, stay: np.ndarray) -> None:
         """Leaves out the rows where `stay` is false."""
-        lens = np.diff(self.start)[stay]
         on = stay[self.row]
-        self.items, self.sizes, self.term, self.weight = self.items[stay], self.sizes[stay], self.term[on], self.weight[on]
-        self.start = np.concatenate([[0], np.cumsum(lens)])
-        self.row = np.repeat(np.arange(len(lens)), lens)
+        self.items, self.sizes, self.matrix = self.items[stay], self.sizes[stay], self.matrix[:, stay]
+        self.term, self.row, self.weight = self.term[on], (np.cumsum(stay) - 1)[self.row[on]], self.weight[on]
+        self._key()
 
     def scores(self, terms: np.ndarray, room: int) -> np.ndarray:
-        """Scores by all of `terms`, of the rows of at most `room`."""
+        """Scores by all of `terms`, of the rows of at most `room`; items of equal terms have equal scores."""
         m = int(np.searchsorted(self.sizes, room, "right"))
-        end = self.start[m]
         t = np.searchsorted(self.vocab, terms)
-        self.asked[t] = 1
-        score = np.bincount(self.row[:end], self.weight[:end] * self.asked[self.term[:end]], m)
-        self.asked[t] = 0
+        place, score = self.place[t], np.zeros(m)
+        for row in place[place >= 0].tolist():
+            score += self.matrix[row, :m]
+        t = t[place < 0]
+        first = self.first[t]
+        times = np.searchsorted(self.key, t * len(self.items) + m) - first
+        at = np.repeat(first - np.cumsum(times) + times, times)
+        if len(at):
+            at += np.arange(len(at))
+            score += np.bincount(self.row[at], self.weight[at], m)
         return score
 
 
@@ -171,13 +190,14 @@ def _pack(names: dict[int, list[str]], stats: Statistics):
         caps = [set(c) for c in pdf["caps"]]
         terms = [np.frombuffer(b, "<u4") for b in pdf["terms"]]
         tfs = [np.frombuffer(b, "<u4") for b in pdf["tf"]]
+        doc, start = pdf["doc_id"].to_numpy(), pdf["start"].to_numpy()
         for cap, called in names.items():
             own = [i for i, c in enumerate(caps) if cap in c]
             sizes = pdf["size"].to_numpy()[own]
             for k, box in enumerate(fill(sizes, [terms[i] for i in own], [tfs[i] for i in own], cap, stats)):
                 for p, j in enumerate(box):
                     for name in called:
-                        rows.append((name, f"{shard}:{k}", p, pdf["doc_id"].iat[own[j]], pdf["start"].iat[own[j]], sizes[j]))
+                        rows.append((name, f"{shard}:{k}", p, doc[own[j]], start[own[j]], sizes[j]))
         return pd.DataFrame(rows, columns=["container_name", "container_id", "position", "doc_id", "start_token", "n_tokens"])
 
     return run
