@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodeseek import catalog
 from lodeseek.plans.stages import one_each
 
-NAMES = ["combined_negatives", "rrf_hybrid", "metrics_mean", "mined_negatives"]
+NAMES = ["combined_negatives", "rrf_hybrid", "metrics_mean", "mined_negatives", "negatives_summary"]
 
 
 def shuffled(spark, action):
