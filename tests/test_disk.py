@@ -1,13 +1,18 @@
-"""What the searches write to disk: texts of answers that occur once are not shuffled, and the rows stay the same."""
+"""What the searches write to disk: texts of answers that occur once are not shuffled, and the rows stay the same; all that a
+query writes is within four times its input."""
+
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodeseek import catalog
-from lodeseek.plans.stages import one_each
+from lodeseek.operators import retrieval as r
+from lodeseek.plans.stages import one_each, shared_dir
 
 NAMES = ["combined_negatives", "rrf_hybrid", "metrics_mean", "mined_negatives", "negatives_summary"]
+WITHIN = ["mined_negatives"]
 
 
 def shuffled(spark, action):
@@ -62,3 +67,29 @@ def test_one_each(spark, most):
         want = some.groupBy("k").agg(F.max("a").alias("a"), F.min("t").alias("t"))
         got = one_each(some, "k", {"a": F.max, "t": F.min}, most)
         assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.fixture(scope="module")
+def alike(spark, tmp_path_factory):
+    """Posts in few words: a long question shares many terms with nearly every answer."""
+    g, path = np.random.default_rng(6), str(tmp_path_factory.mktemp("alike"))
+    words = lambda n: " ".join(f"w{x}" for x in np.minimum(g.zipf(1.2, n), 400))
+    spark.createDataFrame([(i, i % 3000, i % 5, words(60)) for i in range(6000)], "answer_id long, question_id long, score int, text string").repartition(4).write.parquet(f"{path}/corpus.parquet")
+    queries = spark.createDataFrame([(i, words(60)) for i in range(0, 3000, 50)], "question_id long, text string").selectExpr("question_id", "timestamp'2020-01-01' as creation_date", "text as title", "text", "'accepted' as label_source")
+    queries.write.parquet(f"{path}/queries.parquet")
+    spark.createDataFrame([(i, i + 3000 * j, j + 1, "accepted") for i in range(0, 3000, 50) for j in (0, 1)], "question_id long, answer_id long, grade int, label_source string").write.parquet(f"{path}/qrels.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", WITHIN)
+def test_disk_is_within_the_budget(spark, monkeypatch, alike, name):
+    """More query terms than are held at once: shuffles and written stages take less than four times the input."""
+
+    def size(folder):
+        return sum(p.stat().st_size for p in Path(folder).rglob("*.parquet") if p.is_file())
+
+    monkeypatch.setattr(r, "BROADCAST_TERMS", 500)
+    stages = shared_dir(spark).removeprefix("file:")
+    before = size(stages)
+    rows, n = shuffled(spark, lambda: catalog.queries()[name](spark, alike).collect())
+    assert rows and n + size(stages) - before < 4 * size(alike)
