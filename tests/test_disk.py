@@ -12,7 +12,7 @@ from lodeseek.operators import retrieval as r
 from lodeseek.plans.stages import one_each, shared_dir
 
 NAMES = ["combined_negatives", "rrf_hybrid", "metrics_mean", "mined_negatives", "negatives_summary"]
-WITHIN = ["mined_negatives", "rrf_hybrid", "metrics_mean"]
+WITHIN = ["mined_negatives", "rrf_hybrid", "metrics_mean", "negatives_summary"]
 
 
 def shuffled(spark, action):
